@@ -55,7 +55,7 @@ def observation_date(as_of: str, seed: int = 123) -> Column:
     """
     window = F.datediff("churn_date", "signup_date")
     spread = F.least(F.lit(60), (window / 2).cast("int")) - 13
-    hashed = F.pmod(F.col("customer_id") * 7919 + seed, spread).cast("int") + 14
+    hashed = F.pmod(F.pmod("customer_id", spread) * 7919 + seed, spread).cast("int") + 14
     offset = F.when(window > 30, hashed).otherwise(F.greatest(F.lit(1), F.floor(window / 3).cast("int")))
     churned = (F.col("is_churned") == 1) & F.col("churn_date").isNotNull()
     return F.when(churned, F.date_sub("churn_date", offset)).otherwise(F.lit(as_of).cast("date"))
