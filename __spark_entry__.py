@@ -119,7 +119,7 @@ def _with_double_money(df: DataFrame, column: str) -> DataFrame:
 
 
 def _clicks_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = star.click_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    clicks = star.click_events(star.read_star(spark, sf_dir, "events"))
     return analytics.daily_active_users(_tables(spark, sf_dir)._replace(events=clicks))
 
 

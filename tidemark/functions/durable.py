@@ -1,6 +1,7 @@
 """Cutting lineage before iterative work."""
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,21 @@ def shared_checkpoint_dir(spark: SparkSession) -> str | None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and context.master.startswith("local"):
         named = tempfile.mkdtemp(prefix="run-")
-    if named is not None:
-        context.setCheckpointDir(named)
-    return named
+    if named is None:
+        return None
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` so that several passes read it, surviving lost executors."""
-    if shared_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write ``df`` to the shared checkpoint folder as a table and read it back.
+
+    Later passes start from files that outlive the executors, and read only the columns
+    they use.  Without a shared folder the frame is persisted and keeps its lineage.
+    """
+    folder = shared_checkpoint_dir(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import durable
 from tidemark.models.importance import importance_rows, vector_names
 from tidemark.models.metrics import churn_metrics, classification_report
 from tidemark.models.scaling import scaling_stages
@@ -80,9 +81,10 @@ def train_churn_model(
 ) -> ChurnTraining:
     """Fit both classifiers on the training share of ``features`` and evaluate on the rest.
 
-    ``features`` is read several times: pass a materialised frame.
+    ``features`` is read several times: pass a materialised frame.  The split and the
+    test scores are materialised here, as every fit and metric reads them again.
     """
-    parts = train_test_split(features, LABEL, seed=seed)
+    parts = durable(train_test_split(features, LABEL, seed=seed))
     train, test = train_part(parts), test_part(parts)
 
     encoders = Pipeline(stages=encoder_stages()).fit(train)
@@ -96,7 +98,7 @@ def train_churn_model(
     models, metrics, reports = {}, [], {}
     for name, estimator in classifiers(train.count(), num_trees, max_depth, max_iter, seed).items():
         models[name] = PipelineModel([preparation, estimator.fit(ready)])
-        scored = models[name].transform(test)
+        scored = durable(models[name].transform(test).select(LABEL, "probability", "prediction"))
         metrics.append(churn_metrics(scored, name))
         reports[name] = classification_report(scored)
     evaluated = metrics[0].unionByName(metrics[1])

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 
+from tidemark.functions.durable import durable
 from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
 from tidemark.models.split import test_part, train_part, train_test_split
@@ -36,7 +37,7 @@ def train_ltv_model(
     features: DataFrame, rounds: int = 200, max_depth: int = 5, rate: float = 0.1, seed: int = 42
 ) -> LifetimeTraining:
     """Predict total spend; ``features`` is read several times: pass a materialised frame."""
-    parts = train_test_split(features, seed=seed)
+    parts = durable(train_test_split(features.select("customer_id", "total_spend", *LTV_FEATURES), seed=seed))
     train, test = train_part(parts), test_part(parts)
     assembler = VectorAssembler(inputCols=LTV_FEATURES, outputCol="features")
     boosted = GBTRegressor(

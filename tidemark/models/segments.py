@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -39,13 +40,14 @@ def train_segmentation(
     ``features`` is read several times: pass a materialised frame.
     """
     scaler = fit_scaler(features, SEGMENT_FEATURES)
-    scaled = scaler.transform(features)
+    scaled = scaler.transform(features).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
     runs = [
         KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="scaled", predictionCol="segment")
         .fit(scaled)
         for i in range(restarts)
     ]
     best = min(runs, key=lambda run: run.summary.trainingCost)
+    scaled.unpersist()
     model = PipelineModel([scaler, best])
     labelled = model.transform(features)
     return Segmentation(model, silhouette(labelled), name_segments(segment_profiles(labelled)))

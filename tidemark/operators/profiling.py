@@ -290,11 +290,21 @@ def status_comparison(profile: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(profile: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:
-    """Pearson correlation of every ordered pair, in long form; one pass over the rows."""
+    """Pearson correlation of every ordered pair, in long form; one pass over the rows.
+
+    NULL where a column is constant (the built-in ``corr`` divides by zero there).
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = profile.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = profile.agg(
+        *[F.stddev_pop(a).alias(a) for a in columns],
+        *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs],
+    )
     cells = [
-        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"{a}|{b}").alias("r"))
+        F.struct(
+            F.lit(x).alias("a"),
+            F.lit(y).alias("b"),
+            (F.col(f"{a}|{b}") / F.nullif(F.col(a) * F.col(b), F.lit(0.0))).alias("r"),
+        )
         for a, b in pairs
         for x, y in sorted({(a, b), (b, a)})
     ]
