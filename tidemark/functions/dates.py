@@ -4,6 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def month_start(day: Column) -> Column:
+    """First day of the month: a 4-byte grouping key, labelled only after grouping."""
+    return F.trunc(day, "month")
+
+
 def month_label(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

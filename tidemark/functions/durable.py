@@ -37,3 +37,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a stored training frame at least one partition per core; large ones have more anyway."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -20,6 +20,16 @@ def cents(amount: Column) -> Column:
     return (amount * 100).cast("bigint")
 
 
+def total_cents(column: str) -> Column:
+    """Sum of a money column in cents.
+
+    The rows are converted before the sum: adding BIGINTs is about twice as fast as
+    adding DECIMAL(22,2) and shuffles 8 bytes.  A total beyond BIGINT raises an error
+    under ANSI mode.
+    """
+    return F.sum(cents(F.col(column)))
+
+
 def dollars(whole_cents: Column) -> Column:
     return whole_cents.cast("double") / F.lit(100.0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import durable
+from tidemark.functions.durable import durable, spread
 from tidemark.models.importance import importance_rows, vector_names
 from tidemark.models.metrics import churn_metrics, classification_report
+from tidemark.models.parallel import fit_all
 from tidemark.models.scaling import scaling_stages
 from tidemark.models.split import test_part, train_part, train_test_split
 from tidemark.operators.decisions import score_columns
@@ -91,13 +93,17 @@ def train_churn_model(
     prepared = encoders.transform(train)
     scaling = scaling_stages(prepared, "raw_features", "features")
     preparation = PipelineModel([encoders, *scaling])
-    ready = preparation.transform(
-        train.withColumns({"label": F.col(LABEL).cast("double"), "weight": balanced_weight(train)})
-    ).select("label", "weight", "features")
-
-    models, metrics, reports = {}, [], {}
-    for name, estimator in classifiers(train.count(), num_trees, max_depth, max_iter, seed).items():
-        models[name] = PipelineModel([preparation, estimator.fit(ready)])
+    ready = spread(
+        preparation.transform(
+            train.withColumns({"label": F.col(LABEL).cast("double"), "weight": balanced_weight(train)})
+        ).select("label", "weight", "features")
+    )
+
+    estimators = classifiers(train.count(), num_trees, max_depth, max_iter, seed)
+    fitted = fit_all(features.sparkSession, [partial(e.fit, ready) for e in estimators.values()])
+    models = {name: PipelineModel([preparation, model]) for name, model in zip(estimators, fitted)}
+    metrics, reports = [], {}
+    for name in models:
         scored = durable(models[name].transform(test).select(LABEL, "probability", "prediction"))
         metrics.append(churn_metrics(scored, name))
         reports[name] = classification_report(scored)

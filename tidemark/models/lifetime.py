@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 
-from tidemark.functions.durable import durable
+from tidemark.functions.durable import durable, spread
 from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
 from tidemark.models.split import test_part, train_part, train_test_split
@@ -42,7 +42,7 @@ def train_ltv_model(
     assembler = VectorAssembler(inputCols=LTV_FEATURES, outputCol="features")
     boosted = GBTRegressor(
         labelCol="total_spend", maxIter=rounds, maxDepth=max_depth, stepSize=rate, seed=seed
-    ).fit(assembler.transform(train).select("total_spend", "features"))
+    ).fit(spread(assembler.transform(train).select("total_spend", "features")))
     model = PipelineModel([assembler, boosted])
     return LifetimeTraining(
         model,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -11,7 +12,9 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import spread
 from tidemark.functions.rounding import round_even
+from tidemark.models.parallel import fit_all
 from tidemark.models.scaling import fit_scaler
 
 SEGMENT_FEATURES = [
@@ -40,12 +43,10 @@ def train_segmentation(
     ``features`` is read several times: pass a materialised frame.
     """
     scaler = fit_scaler(features, SEGMENT_FEATURES)
-    scaled = scaler.transform(features).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
-    runs = [
-        KMeans(k=n_clusters, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="scaled", predictionCol="segment")
-        .fit(scaled)
-        for i in range(restarts)
-    ]
+    scaled = spread(scaler.transform(features).select("scaled")).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = {"k": n_clusters, "maxIter": 300, "tol": 1e-4, "featuresCol": "scaled", "predictionCol": "segment"}
+    starts = [KMeans(seed=seed + i, **shared) for i in range(restarts)]
+    runs = fit_all(features.sparkSession, [partial(start.fit, scaled) for start in starts])
     best = min(runs, key=lambda run: run.summary.trainingCost)
     scaled.unpersist()
     model = PipelineModel([scaler, best])

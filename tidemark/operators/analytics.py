@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import churn_status, month_index, month_label
-from tidemark.functions.rounding import cents, dollars, mean_dollars, percent_2dp, ratio_2dp
+from tidemark.functions.dates import churn_status, month_index, month_label, month_start
+from tidemark.functions.rounding import dollars, mean_dollars, percent_2dp, ratio_2dp, total_cents
 from tidemark.sources.tables import Tables
 
 FUNNEL_STAGES = ["Signed Up", "Logged In", "Viewed Pages", "Used Features", "Made Purchase"]
@@ -19,16 +19,16 @@ FUNNEL_STAGES = ["Signed Up", "Logged In", "Viewed Pages", "Used Features", "Mad
 
 def monthly_revenue(t: Tables) -> DataFrame:
     """Revenue, payers and growth per month; growth compares with the previous month present."""
-    monthly = t.transactions.groupBy(month_label(F.col("transaction_date")).alias("month")).agg(
-        cents(F.sum("amount")).alias("total"),
+    monthly = t.transactions.groupBy(month_start(F.col("transaction_date")).alias("first_day")).agg(
+        total_cents("amount").alias("total"),
         F.count_distinct("customer_id").alias("paying_customers"),
     )
     # One row per month: the only place where an unpartitioned window is harmless.
-    before = F.lag("total").over(Window.orderBy("month"))
+    before = F.lag("total").over(Window.orderBy("first_day"))
     return (
         monthly.withColumn("before", before)
         .select(
-            "month",
+            month_label(F.col("first_day")).alias("month"),
             dollars(F.col("total")).alias("revenue"),
             "paying_customers",
             mean_dollars(F.col("total"), F.col("paying_customers")).alias("avg_revenue_per_customer"),
@@ -42,7 +42,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
 
 def revenue_by_plan(t: Tables) -> DataFrame:
     """Customers and recurring revenue of the active subscriptions per plan."""
-    total = cents(F.sum("mrr"))
+    total = total_cents("mrr")
     return (
         t.subscriptions.where(F.col("status") == "active")
         .groupBy("plan")
@@ -56,7 +56,7 @@ def revenue_by_plan(t: Tables) -> DataFrame:
 
 
 def revenue_by_category(t: Tables) -> DataFrame:
-    total = cents(F.sum("amount"))
+    total = total_cents("amount")
     return (
         t.transactions.groupBy("product_category")
         .agg(
@@ -72,7 +72,7 @@ def cohort_retention(t: Tables, periods: int = 12) -> DataFrame:
     """Share of each signup month's customers active 0..``periods`` calendar months later."""
     signup = t.customers.select(
         "customer_id",
-        month_label(F.col("signup_date")).alias("cohort"),
+        month_start(F.col("signup_date")).alias("first_day"),
         month_index(F.col("signup_date")).alias("signup_month"),
     )
     active = t.events.select("customer_id", month_index(F.col("event_date")).alias("active_month")).distinct()
@@ -82,14 +82,14 @@ def cohort_retention(t: Tables, periods: int = 12) -> DataFrame:
         active.join(signup, "customer_id")
         .withColumn("period", F.col("active_month") - F.col("signup_month"))
         .where(F.col("period").between(0, periods))
-        .groupBy("cohort", "period")
+        .groupBy("first_day", "period")
         .agg(F.count(F.lit(1)).alias("retained_customers"))
     )
-    sizes = signup.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
+    sizes = signup.groupBy("first_day").agg(F.count(F.lit(1)).alias("cohort_size"))
     return (
-        retained.join(sizes, "cohort")
+        retained.join(sizes, "first_day")
         .select(
-            "cohort",
+            month_label(F.col("first_day")).alias("cohort"),
             F.col("period").cast("bigint").alias("period"),
             "retained_customers",
             "cohort_size",
@@ -101,7 +101,7 @@ def cohort_retention(t: Tables, periods: int = 12) -> DataFrame:
 
 def _spend_per_customer(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("customer_id").agg(
-        cents(F.sum("amount")).alias("spend"), F.count("transaction_id").alias("purchases")
+        total_cents("amount").alias("spend"), F.count("transaction_id").alias("purchases")
     )
 
 
@@ -129,7 +129,7 @@ def customer_lifetime_value(t: Tables) -> DataFrame:
     """Mean revenue per active month times the number of active months, per buyer."""
     monthly = t.transactions.groupBy(
         "customer_id", month_index(F.col("transaction_date")).alias("month")
-    ).agg(cents(F.sum("amount")).alias("month_total"))
+    ).agg(total_cents("amount").alias("month_total"))
     buyers = monthly.groupBy("customer_id").agg(
         F.sum("month_total").alias("total"), F.count(F.lit(1)).alias("active_months")
     )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rounding import cents, dollars, round_even
+from tidemark.functions.rounding import dollars, round_even, total_cents
 from tidemark.sources.tables import Tables
 
 PLAN_CODES = {"free": 0, "starter": 1, "pro": 2, "enterprise": 3}
@@ -67,14 +67,14 @@ def observation_points(customers: DataFrame, as_of: str = DEFAULT_AS_OF, seed: i
 
 def daily_spend(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("customer_id", F.col("transaction_date").alias("day")).agg(
-        cents(F.sum("amount")).alias("spend"), F.count("transaction_id").alias("purchases")
+        total_cents("amount").alias("spend"), F.count("transaction_id").alias("purchases")
     )
 
 
 def daily_plan(subscriptions: DataFrame) -> DataFrame:
-    """The subscription a customer ended each day with; the higher id wins within a day."""
+    """The plan a customer ended each day with; the higher subscription id wins within a day."""
     return subscriptions.groupBy("customer_id", F.col("start_date").alias("day")).agg(
-        F.max(F.struct("subscription_id", "plan", "mrr")).alias("subscription")
+        F.max_by("plan", "subscription_id").alias("plan"), F.max_by("mrr", "subscription_id").alias("mrr")
     )
 
 
@@ -90,7 +90,9 @@ def _spend_aggregates() -> list[Column]:
 
 
 def _plan_aggregates() -> list[Column]:
-    return [F.max(F.when(F.col("subscription").isNotNull(), F.struct("day", "subscription"))).alias("latest")]
+    """Plan and revenue of the latest day that has a subscription."""
+    subscribed = F.when(F.col("plan").isNotNull(), F.col("day"))
+    return [F.max_by("plan", subscribed).alias("plan"), F.max_by("mrr", subscribed).alias("mrr")]
 
 
 def _event_aggregates() -> list[Column]:
@@ -133,11 +135,7 @@ def latest_subscription_asof(subscriptions: DataFrame, observed: DataFrame) -> D
         _until_observed(daily_plan(subscriptions), observed)
         .groupBy("customer_id")
         .agg(*_plan_aggregates())
-        .select(
-            "customer_id",
-            F.col("latest.subscription.plan").alias("plan"),
-            F.col("latest.subscription.mrr").cast("double").alias("mrr"),
-        )
+        .select("customer_id", "plan", F.col("mrr").cast("double").alias("mrr"))
     )
 
 
@@ -162,12 +160,17 @@ def ticket_ratio(tickets: Column, events: Column) -> Column:
 
 
 def feature_base(t: Tables, as_of: str = DEFAULT_AS_OF, seed: int = 123) -> DataFrame:
-    """All features of every customer, with plan, channel and country still as text."""
+    """All features of every customer, with channel and country still as text.
+
+    The plan enters as its code: fixed-width values keep both aggregations hash-based,
+    where text would make Spark sort the facts.
+    """
     people = t.customers.withColumn("obs_date", observation_date(as_of, seed))
     attributes = ["obs_date", "signup_date", "age", "country", "acquisition_channel", "is_churned"]
+    coded = t.subscriptions.withColumn("plan", plan_code(F.col("plan")))
     facts = (
         daily_spend(t.transactions)
-        .unionByName(daily_plan(t.subscriptions), allowMissingColumns=True)
+        .unionByName(daily_plan(coded), allowMissingColumns=True)
         .unionByName(daily_events(t.events), allowMissingColumns=True)
     )
     known = F.col("f.day") <= F.col("c.obs_date")
@@ -176,9 +179,8 @@ def feature_base(t: Tables, as_of: str = DEFAULT_AS_OF, seed: int = 123) -> Data
         .alias("c")
         .join(facts.alias("f"), (F.col("c.customer_id") == F.col("f.customer_id")) & known, "left")
         .drop(F.col("f.customer_id"))
-        .groupBy("customer_id")
+        .groupBy("customer_id", *attributes)
         .agg(
-            *[F.first(a).alias(a) for a in attributes],
             *_spend_aggregates(),
             *_plan_aggregates(),
             *_event_aggregates(),
@@ -195,29 +197,34 @@ def feature_base(t: Tables, as_of: str = DEFAULT_AS_OF, seed: int = 123) -> Data
         F.coalesce(dollars(F.col("spend")), F.lit(0.0)).alias("total_spend"),
         F.coalesce(_mean_spend(), F.lit(0.0)).alias("avg_order_value"),
         F.coalesce("num_transactions", zero).alias("num_transactions"),
-        F.coalesce(F.col("latest.subscription.plan"), F.lit("free")).alias("plan"),
-        F.coalesce(F.col("latest.subscription.mrr").cast("double"), F.lit(0.0)).alias("current_mrr"),
+        F.coalesce(F.col("mrr").cast("double"), F.lit(0.0)).alias("current_mrr"),
         *[F.coalesce(c, zero).alias(c) for c in counts],
         F.coalesce(F.datediff("obs_date", "last_event_date"), F.lit(NO_EVENT_DAYS))
         .cast("bigint")
         .alias("days_since_last_event"),
         F.col("is_churned").cast("bigint").alias("is_churned"),
+        F.coalesce("plan", F.lit(PLAN_CODES["free"])).alias("plan_encoded"),
     )
     return base.withColumns(
         {
-            "plan_encoded": plan_code(F.col("plan")),
             "avg_events_per_week": events_per_week(F.col("total_events"), F.col("tenure_days")),
             "support_ticket_ratio": ticket_ratio(F.col("support_ticket_count"), F.col("total_events")),
         }
     )
 
 
-def category_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list[str]:
-    """The sorted levels of a low-cardinality column; refuses columns that are not."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
+def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
+    """The sorted levels of low-cardinality columns; refuses columns that have too many."""
+    found = (
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns])))
+        .where(F.col("level").isNotNull())
+        .distinct()
+        .limit(max_levels + 1)
+        .collect()
+    )
     if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels")
-    return sorted(row[0] for row in found)
+        raise ValueError(f"{', '.join(columns)} have more than {max_levels} levels")
+    return {c: sorted(row["level"] for row in found if row["name"] == c) for c in columns}
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, levels: Sequence[str]) -> DataFrame:
@@ -235,9 +242,15 @@ def feature_matrix(
     channels: Sequence[str] | None = None,
     countries: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The numeric matrix: ids, features and one-hot columns, text columns dropped."""
-    channels = category_levels(t.customers, "acquisition_channel") if channels is None else channels
-    countries = category_levels(t.customers, "country") if countries is None else countries
-    matrix = feature_base(t, as_of, seed).drop("plan")
+    """The numeric matrix: ids, features and one-hot columns, text columns dropped.
+
+    Levels that are not given are read from the customers table.
+    """
+    given = {"acquisition_channel": channels, "country": countries}
+    missing = [column for column, levels in given.items() if levels is None]
+    if missing:
+        given |= category_levels(t.customers, missing)
+    channels, countries = given.values()
+    matrix = feature_base(t, as_of, seed)
     matrix = one_hot(matrix, "acquisition_channel", "channel", channels)
     return one_hot(matrix, "country", "country", countries)

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import churn_status, month_label
+from tidemark.functions.dates import churn_status, month_label, month_start
 from tidemark.functions.quantiles import exact_quantiles
-from tidemark.functions.rounding import cents, dollars, round_even
+from tidemark.functions.rounding import dollars, round_even, total_cents
 from tidemark.sources.tables import Tables
 
 PLAN_ORDER = ["free", "starter", "pro", "enterprise"]
@@ -159,14 +159,15 @@ def churn_by_dimension(t: Tables, dimension: str) -> DataFrame:
 
 
 def monthly_transactions(t: Tables) -> DataFrame:
-    revenue = dollars(cents(F.sum("amount")))
+    revenue = dollars(total_cents("amount"))
     return (
-        t.transactions.groupBy(month_label(F.col("transaction_date")).alias("month"))
+        t.transactions.groupBy(month_start(F.col("transaction_date")).alias("first_day"))
         .agg(
             revenue.alias("revenue"),
             F.count("amount").alias("transactions"),
             (revenue / F.count("amount")).alias("avg_amount"),
         )
+        .select(month_label(F.col("first_day")).alias("month"), "revenue", "transactions", "avg_amount")
         .orderBy("month")
     )
 
@@ -174,14 +175,14 @@ def monthly_transactions(t: Tables) -> DataFrame:
 def category_revenue(t: Tables) -> DataFrame:
     return (
         t.transactions.groupBy("product_category")
-        .agg(dollars(cents(F.sum("amount"))).alias("revenue"))
+        .agg(dollars(total_cents("amount")).alias("revenue"))
         .orderBy(F.desc("revenue"), "product_category")
     )
 
 
 def plan_distribution(t: Tables, plans: list[str] = PLAN_ORDER) -> DataFrame:
     """Subscriptions of any status per listed plan, in list order; an unused plan shows NULLs."""
-    total = dollars(cents(F.sum("mrr")))
+    total = dollars(total_cents("mrr"))
     found = (
         t.subscriptions.where(F.col("plan").isin(*plans))
         .groupBy("plan")
@@ -255,7 +256,7 @@ def event_box_stats(profile: DataFrame) -> DataFrame:
 def customer_360(t: Tables, as_of: str) -> DataFrame:
     """Every customer with spend, transaction and event totals (0 where none) and tenure to a fixed day."""
     spend = t.transactions.groupBy("customer_id").agg(
-        dollars(cents(F.sum("amount"))).alias("total_spend"),
+        dollars(total_cents("amount")).alias("total_spend"),
         F.count("transaction_id").alias("num_transactions"),
     )
     activity = customer_event_profile(t).select("customer_id", "total_events", "logins", "feature_uses")
