@@ -147,7 +147,7 @@ def _plan_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = split.train_test_split(_features(spark, sf_dir), "is_churned")
+    parts = split.train_test_split(_training_features(spark, sf_dir), "is_churned")
     return parts.select("customer_id", "is_churned", "is_train")
 
 
@@ -179,8 +179,10 @@ def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _churn_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _churn(spark, sf_dir).feature_importances
-    return spark.createDataFrame([], "feature string, importance double") if found is None else found
+    """Importances of the forest, whether or not it was the better model."""
+    return churn.feature_importances(
+        _churn(spark, sf_dir).models["RandomForest"], _training_features(spark, sf_dir)
+    )
 
 
 def _predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +315,10 @@ def queries() -> dict[str, Query]:
     def on_profile(operator: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: operator(_profile_360(spark, sf_dir))
 
+    def on_stored_profile(operator: Callable[[DataFrame], DataFrame]) -> Query:
+        """For operators that read the customer profile more than once."""
+        return lambda spark, sf_dir: operator(durable(_profile_360(spark, sf_dir)))
+
     def on_features(operator: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: operator(_features(spark, sf_dir))
 
@@ -404,7 +410,7 @@ def queries() -> dict[str, Query]:
         "overall_churn": on_tables(profiling.overall_churn),
         "value_counts": _value_counts,
         "histogram": _histograms,
-        "histogram_by_status": on_profile(
+        "histogram_by_status": on_stored_profile(
             lambda p: profiling.histogram_by_status(
                 p, ["total_spend", "total_events", "num_transactions", "tenure_days"]
             )
@@ -416,9 +422,9 @@ def queries() -> dict[str, Query]:
         "active_customer_count": on_tables(profiling.active_customer_count),
         "customer_event_profile": on_tables(profiling.customer_event_profile),
         "event_means_by_status": on_events(profiling.event_means_by_status),
-        "event_box_stats": on_events(profiling.event_box_stats),
+        "event_box_stats": on_events(lambda p: profiling.event_box_stats(durable(p))),
         "customer_360": _profile_360,
-        "status_comparison": on_profile(profiling.status_comparison),
+        "status_comparison": on_stored_profile(profiling.status_comparison),
         "correlation_matrix": _rounded_correlations,
         "churn_correlation": lambda spark, d: profiling.churn_correlation(_rounded_correlations(spark, d)),
         "spend_vs_events": on_profile(profiling.spend_vs_events),

@@ -6,7 +6,7 @@ from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import profiling, quality, views
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 10, 1001, 20000])
+@pytest.mark.parametrize("size", [1, 2, 10, 20000])
 @pytest.mark.parametrize("kind", ["spread", "skewed", "constant"])
 def test_exact_quantiles(spark, size, kind):
     rng = np.random.default_rng(size)

@@ -28,6 +28,8 @@ def exact_quantiles(
     one row per key combination and is broadcast.
     """
     keys = list(keys)
+    if not keys:
+        raise ValueError("exact_quantiles needs at least one key")
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
 
     margin = 2.0 / accuracy
@@ -51,7 +53,7 @@ def exact_quantiles(
         )
     )
 
-    same_group = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys] or [F.lit(True)]
+    same_group = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
     zone = F.when(F.col("v") < F.col("lo"), BELOW).when(F.col("v") > F.col("hi"), ABOVE).otherwise(INSIDE)
     counted = (
         rows.join(F.broadcast(brackets), same_group)

@@ -110,15 +110,16 @@ def train_churn_model(
     evaluated = metrics[0].unionByName(metrics[1])
 
     best = select_best_model(evaluated)
-    importances = None
-    if best == "RandomForest":
-        forest = models[best].stages[-1]
-        importances = importance_rows(
-            features, vector_names(prepared, "raw_features"), forest.featureImportances
-        )
+    importances = feature_importances(models[best], features) if best == "RandomForest" else None
     return ChurnTraining(models, best, evaluated, reports, importances)
 
 
+def feature_importances(forest: PipelineModel, features: DataFrame) -> DataFrame:
+    """Importance of every slot of the forest's input vector."""
+    names = vector_names(forest.transform(features), "raw_features")
+    return importance_rows(features, names, forest.stages[-1].featureImportances)
+
+
 def select_best_model(metrics: DataFrame) -> str:
     """Name of the model with the higher AUC; the forest wins a tie."""
     areas = {row["model"]: row["auc_roc"] for row in metrics.collect()}

@@ -135,7 +135,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def histogram_by_status(profile: DataFrame, metrics: list[str], bins: int = 40) -> DataFrame:
-    """Per metric and churn status, rows per bin; the statuses of a metric share its bins."""
+    """Per metric and churn status, rows per bin; the statuses of a metric share its bins.
+
+    ``profile`` is read twice: pass a materialised frame.
+    """
     cells = []
     for metric in metrics:
         slot, edge = _bin_columns(profile, metric, bins)
@@ -224,7 +227,10 @@ def event_means_by_status(profile: DataFrame) -> DataFrame:
 
 
 def event_box_stats(profile: DataFrame) -> DataFrame:
-    """Box-plot numbers per event type and status: exact quartiles and 1.5-IQR whiskers."""
+    """Box-plot numbers per event type and status: exact quartiles and 1.5-IQR whiskers.
+
+    ``profile`` is read three times: pass a materialised frame.
+    """
     keys = ["event_type", "status"]
     long = profile.unpivot("status", EVENT_MEASURES, "event_type", "value")
     quartiles = (
@@ -271,7 +277,10 @@ def customer_360(t: Tables, as_of: str) -> DataFrame:
 
 
 def status_comparison(profile: DataFrame) -> DataFrame:
-    """Key metrics as rows, one column per churn status, one decimal."""
+    """Key metrics as rows, one column per churn status, one decimal.
+
+    ``profile`` is read three times: pass a materialised frame.
+    """
 
     def mean(column: str) -> Column:
         # Exact decimal sums, so the last digit does not depend on partitioning.
