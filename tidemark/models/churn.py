@@ -21,6 +21,7 @@ from tidemark.models.split import test_part, train_part, train_test_split
 from tidemark.operators.decisions import score_columns
 from tidemark.operators.features import NUMERIC_FEATURES
 
+# Target, encoded columns with their prefixes, published score columns.
 LABEL = "is_churned"
 CATEGORIES = {"acquisition_channel": "channel", "country": "country"}
 SCORE_COLUMNS = [

@@ -14,6 +14,7 @@ from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
 from tidemark.models.split import test_part, train_part, train_test_split
 
+# Regression features.
 LTV_FEATURES = [
     "tenure_days",
     "age",

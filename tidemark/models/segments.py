@@ -17,6 +17,7 @@ from tidemark.functions.rounding import round_even
 from tidemark.models.parallel import fit_all
 from tidemark.models.scaling import fit_scaler
 
+# Clustered features and, in name_segments, the segment names.
 SEGMENT_FEATURES = [
     "tenure_days",
     "total_spend",

@@ -14,6 +14,7 @@ from tidemark.functions.dates import churn_status, month_index, month_label, mon
 from tidemark.functions.rounding import dollars, mean_dollars, percent_2dp, ratio_2dp, total_cents
 from tidemark.sources.tables import Tables
 
+# Stage names in funnel order.
 FUNNEL_STAGES = ["Signed Up", "Logged In", "Viewed Pages", "Used Features", "Made Purchase"]
 
 

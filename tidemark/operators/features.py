@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import dollars, round_even, total_cents
 from tidemark.sources.tables import Tables
 
+# Plan codes, days reported without any event, default as-of date, and the
+# columns of the matrix in order.
 PLAN_CODES = {"free": 0, "starter": 1, "pro": 2, "enterprise": 3}
 NO_EVENT_DAYS = 999
 DEFAULT_AS_OF = "2025-03-31"

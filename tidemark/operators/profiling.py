@@ -12,6 +12,7 @@ from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.rounding import dollars, round_even, total_cents
 from tidemark.sources.tables import Tables
 
+# Plan order and the measures of the profile tables.
 PLAN_ORDER = ["free", "starter", "pro", "enterprise"]
 EVENT_MEASURES = ["logins", "feature_uses", "support_tickets", "page_views"]
 COMPARED = {

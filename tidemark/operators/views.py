@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import percent_2dp
 from tidemark.operators.decisions import TIERS
 
+# Bins, melted measures and table columns of the dashboard.
 HISTOGRAM_BINS = 40
 ENGAGEMENT_MEASURES = ["avg_logins", "avg_feature_uses", "avg_support_tickets"]
 RECOMMENDATION_COLUMNS = [
