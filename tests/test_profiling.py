@@ -82,7 +82,12 @@ def test_correlation_matrix_is_symmetric(make_tables):
 def test_integrity_checks_find_each_kind(make_tables):
     t = make_tables(
         customers=[{"customer_id": 1, "email": "a@x"}, {"customer_id": 2, "email": "a@x"}, {"customer_id": 2, "name": None}],
-        transactions=[{"customer_id": 9}, {"customer_id": 9}, {"customer_id": 1}],
+        transactions=[
+            {"customer_id": 9},
+            {"customer_id": 9},
+            {"customer_id": 2, "payment_method": None},
+            {"customer_id": None},
+        ],
     )
     found = {
         (r["table_name"], r["column_name"], r["rule"]): r["violations"] for r in rows(quality.integrity_checks(t))
@@ -91,7 +96,9 @@ def test_integrity_checks_find_each_kind(make_tables):
     assert found["customers", "email", "unique"] == 1
     assert found["customers", "name", "not_null"] == 1
     assert found["transactions", "customer_id", "foreign_key"] == 2
-    assert sum(found.values()) == 5
+    assert found["transactions", "payment_method", "not_null"] == 1
+    assert found["transactions", "customer_id", "not_null"] == 1
+    assert sum(found.values()) == 7
     assert ("customers", "churn_date", "not_null") not in found
 
 

@@ -24,30 +24,39 @@ def _duplicate_keys(name: str, df: DataFrame, key: str, rule: str) -> DataFrame:
     )
 
 
+def _required(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in NULLABLE]
+
+
+def _as_rows(name: str, counts: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
+    """One wide row of violation counts as (table, column, rule, violations) rows."""
+    cells = [
+        F.struct(F.lit(column).alias("column_name"), F.lit(rule).alias("rule"), F.col(c).alias("violations"))
+        for c, (column, rule) in rules.items()
+    ]
+    return counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells)))
+
+
 def _missing_values(name: str, df: DataFrame) -> DataFrame:
-    required = [c for c in df.columns if c not in NULLABLE]
-    return (
-        df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-        .unpivot([], required, "column_name", "violations")
-        .select(F.lit(name).alias("table_name"), "column_name", F.lit("not_null").alias("rule"), "violations")
-    )
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in _required(df)])
+    return _as_rows(name, counts, {c: (c, "not_null") for c in _required(df)})
 
 
-def _orphans(name: str, df: DataFrame, customers: DataFrame) -> DataFrame:
-    # Counted per customer before the join, so that a hot customer is one row in it.
-    per_customer = df.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n")
+def _missing_values_and_orphans(name: str, df: DataFrame, customers: DataFrame) -> DataFrame:
+    """Both rules in one scan: counts per customer, so that a hot customer joins as one row."""
+    required = _required(df)
+    per_customer = df.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required],
     )
-    return (
-        per_customer.join(customers.select("customer_id"), "customer_id", "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-        .select(
-            F.lit(name).alias("table_name"),
-            F.lit("customer_id").alias("column_name"),
-            F.lit("foreign_key").alias("rule"),
-            "violations",
-        )
+    known = customers.select("customer_id").distinct().withColumn("known", F.lit(True))
+    orphan = F.col("customer_id").isNotNull() & F.col("known").isNull()
+    counts = per_customer.join(known, "customer_id", "left").agg(
+        *[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in required],
+        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphans"),
     )
+    rules = {f"null_{c}": (c, "not_null") for c in required}
+    return _as_rows(name, counts, rules | {"orphans": ("customer_id", "foreign_key")})
 
 
 def integrity_checks(t: Tables) -> DataFrame:
@@ -55,8 +64,10 @@ def integrity_checks(t: Tables) -> DataFrame:
     tables = t._asdict()
     checks = [_duplicate_keys(n, df, PRIMARY_KEYS[n], "primary_key") for n, df in tables.items()]
     checks.append(_duplicate_keys("customers", t.customers, "email", "unique"))
-    checks += [_missing_values(n, df) for n, df in tables.items()]
-    checks += [_orphans(n, df, t.customers) for n, df in tables.items() if n != "customers"]
+    checks.append(_missing_values("customers", t.customers))
+    checks += [
+        _missing_values_and_orphans(n, df, t.customers) for n, df in tables.items() if n != "customers"
+    ]
     return union_all(checks)
 
 
