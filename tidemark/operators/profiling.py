@@ -206,18 +206,21 @@ def active_customer_count(t: Tables) -> DataFrame:
     return t.events.agg(F.count_distinct("customer_id").alias("customers_with_events"))
 
 
-def customer_event_profile(t: Tables) -> DataFrame:
-    """Event counts by type of the customers that have events."""
+def _event_counts(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    counts = t.events.groupBy("customer_id").agg(
+    return events.groupBy("customer_id").agg(
         F.count("event_id").alias("total_events"),
         F.count_if(kind == "login").alias("logins"),
         F.count_if(kind == "feature_use").alias("feature_uses"),
         F.count_if(kind == "support_ticket").alias("support_tickets"),
         F.count_if(kind == "page_view").alias("page_views"),
     )
+
+
+def customer_event_profile(t: Tables) -> DataFrame:
+    """Event counts by type of the customers that have events."""
     people = t.customers.select("customer_id", churn_status(F.col("is_churned")).alias("status"))
-    return people.join(counts, "customer_id")
+    return people.join(_event_counts(t.events), "customer_id")
 
 
 def event_means_by_status(profile: DataFrame) -> DataFrame:
@@ -266,7 +269,7 @@ def customer_360(t: Tables, as_of: str) -> DataFrame:
         dollars(total_cents("amount")).alias("total_spend"),
         F.count("transaction_id").alias("num_transactions"),
     )
-    activity = customer_event_profile(t).select("customer_id", "total_events", "logins", "feature_uses")
+    activity = _event_counts(t.events).select("customer_id", "total_events", "logins", "feature_uses")
     filled = ["total_spend", "num_transactions", "total_events", "logins", "feature_uses"]
     return (
         t.customers.join(spend, "customer_id", "left")
