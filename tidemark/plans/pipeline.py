@@ -68,10 +68,12 @@ def run_pipeline(
     scores = _written(churn.predict_churn(matrix, best), f"{output}/scores")
     recs = _written(decisions.recommendations(scores, tables.customers), f"{output}/recommendations")
     report = decisions.summary_report(recs)
+    # Two segments may share a name, so the label starts with the number.
+    named = segmented.profiles.withColumn("label", F.concat_ws(" ", "segment", "segment_name"))
     summary = (
         _long(churned.metrics, "churn", "model")
         .unionByName(_long(segmented.silhouette, "segmentation"))
-        .unionByName(_long(segmented.profiles.drop("segment"), "segmentation", "segment_name"))
+        .unionByName(_long(named.drop("segment"), "segmentation", "label"))
         .unionByName(_long(valued.metrics, "ltv"))
         .unionByName(_long(report, "report"))
     )
@@ -86,10 +88,19 @@ def main() -> None:
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--as-of", default=features.DEFAULT_AS_OF)
     parser.add_argument("--seed", type=int, default=42)
+    parser.add_argument("--trees", type=int, default=200)
+    parser.add_argument("--ltv-rounds", type=int, default=200)
+    parser.add_argument("--restarts", type=int, default=10)
     options = parser.parse_args()
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     result = run_pipeline(
-        load_tables(spark, options.input, options.format), options.output, options.as_of, options.seed
+        load_tables(spark, options.input, options.format),
+        options.output,
+        options.as_of,
+        options.seed,
+        options.trees,
+        options.ltv_rounds,
+        options.restarts,
     )
     result.summary.show(200, truncate=False)
 
