@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracle
-from tidemark.functions.durable import durable, shared_checkpoint_dir
+from tidemark.functions.durable import durable, work_folder
 from tidemark.functions.rounding import round_even
 from tidemark.models import churn, lifetime, metrics, scaling, segments, split
 from tidemark.models.store import load_model, save_model
@@ -22,6 +22,14 @@ from tidemark.plans.pipeline import run_pipeline
 from tidemark.sources import star
 from tidemark.sources.tables import Tables
 
+try:
+    import corpus_pipeline
+    import tidemark.llm.registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tidemark.llm", "tidemark.llm.registry"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -191,7 +199,7 @@ def _predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +335,7 @@ def queries() -> dict[str, Query]:
 
     observed = lambda t: features.observation_points(t.customers, star.AS_OF)
 
-    return {
+    return _llm_queries() | {
         "load_customers": on_tables(lambda t: t.customers),
         "load_subscriptions": on_tables(lambda t: _with_double_money(t.subscriptions, "mrr")),
         "load_transactions": on_tables(lambda t: _with_double_money(t.transactions, "amount")),
@@ -436,4 +444,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    if llm is None:
+        return oracle.oracle_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracle.oracle_sql() | llm.oracle_sql() | whole
+
+
+def _llm_queries() -> dict[str, Query]:
+    """The training-data operators, where their subpackage is present."""
+    return {} if llm is None else llm.queries() | {"pipeline": corpus_pipeline.run}

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import durable, shared_checkpoint_dir
+from tidemark.functions.durable import durable, work_folder
 from tidemark.models import churn, lifetime, metrics, segments
 from tidemark.models.scaling import fit_scaler
 from tidemark.models.split import train_test_split
@@ -27,10 +27,10 @@ def trained(matrix):
 
 
 def test_durable_uses_the_folder_of_the_session(spark):
-    folder = shared_checkpoint_dir(spark)
+    folder = work_folder(spark)
     df = durable(spark.range(10))
     assert folder.rsplit("/", 1)[1] in df.inputFiles()[0]
-    assert shared_checkpoint_dir(spark) == folder
+    assert work_folder(spark) == folder
 
 
 @pytest.mark.parametrize("size", [1, 4, 5, 100_003])

@@ -1,45 +1,39 @@
-"""Cutting lineage before iterative work."""
+"""Tables between jobs: written to a folder that driver and executors share, read back."""
 
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The checkpoint folder of the session, or None when the cluster names none.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or the context's own.
 
-    A temporary folder stands in only for a local master, where driver and executors
-    are one process.
+    Where neither is set, a local session gets a temporary folder, set once for the
+    session; a cluster without a shared folder is an error.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="run-")
-    if named is None:
-        return None
-    context.setCheckpointDir(named)
+    context = spark.sparkContext
+    if named:
+        return named.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder as a table and read it back.
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in ``folder`` (by default the session's work folder), read it back.
 
     Later passes start from files that outlive the executors, and read only the columns
-    they use.  Without a shared folder the frame is persisted and keeps its lineage.
+    they use.  The tables stay until the folder's owner clears it.
     """
-    folder = shared_checkpoint_dir(df.sparkSession)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{folder or work_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a stored training frame at least one partition per core; large ones have more anyway."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def dealt_by(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """A layout that depends on the rows alone: hashed by ``key``, sorted within partitions."""
+    return df.repartition(partitions, key).sortWithinPartitions(key)

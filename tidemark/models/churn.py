@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import durable, spread
+from tidemark.functions.durable import dealt_by, durable
 from tidemark.models.importance import importance_rows, vector_names
 from tidemark.models.metrics import churn_metrics, classification_report
 from tidemark.models.parallel import fit_all
@@ -58,9 +58,8 @@ def encoder_stages() -> list:
     ]
 
 
-def balanced_weight(train: DataFrame) -> Column:
+def balanced_weight(sizes: dict[int, int]) -> Column:
     """n / (2 * n_class), so that both classes weigh the same in total."""
-    sizes = {row[LABEL]: row["count"] for row in train.groupBy(LABEL).count().collect()}
     total = sum(sizes.values())
     weight = F.lit(1.0)
     for value, size in sizes.items():
@@ -80,32 +79,42 @@ def classifiers(rows: int, num_trees: int, max_depth: int, max_iter: int, seed:
 
 
 def train_churn_model(
-    features: DataFrame, num_trees: int = 200, max_depth: int = 10, max_iter: int = 1000, seed: int = 42
+    features: DataFrame,
+    num_trees: int = 200,
+    max_depth: int = 10,
+    max_iter: int = 1000,
+    seed: int = 42,
+    partitions: int = 32,
+    folder: str | None = None,
 ) -> ChurnTraining:
     """Fit both classifiers on the training share of ``features`` and evaluate on the rest.
 
     ``features`` is read several times: pass a materialised frame.  The split and the
-    test scores are materialised here, as every fit and metric reads them again.
+    test scores are materialised in ``folder``, as every fit and metric reads them again.
+    The training rows are dealt over ``partitions`` by customer, so the models depend on
+    the rows, the seed and this number, not on the cluster or the input's layout.
     """
-    parts = durable(train_test_split(features, LABEL, seed=seed))
+    parts = durable(train_test_split(features, LABEL, seed=seed), folder)
     train, test = train_part(parts), test_part(parts)
 
     encoders = Pipeline(stages=encoder_stages()).fit(train)
     prepared = encoders.transform(train)
     scaling = scaling_stages(prepared, "raw_features", "features")
     preparation = PipelineModel([encoders, *scaling])
-    ready = spread(
-        preparation.transform(
-            train.withColumns({"label": F.col(LABEL).cast("double"), "weight": balanced_weight(train)})
-        ).select("label", "weight", "features")
+    sizes = {row[LABEL]: row["count"] for row in train.groupBy(LABEL).count().collect()}
+    labelled = train.withColumns({"label": F.col(LABEL).cast("double"), "weight": balanced_weight(sizes)})
+    ready = dealt_by(
+        preparation.transform(labelled).select("customer_id", "label", "weight", "features"),
+        "customer_id",
+        partitions,
     )
 
-    estimators = classifiers(train.count(), num_trees, max_depth, max_iter, seed)
+    estimators = classifiers(sum(sizes.values()), num_trees, max_depth, max_iter, seed)
     fitted = fit_all(features.sparkSession, [partial(e.fit, ready) for e in estimators.values()])
     models = {name: PipelineModel([preparation, model]) for name, model in zip(estimators, fitted)}
     metrics, reports = [], {}
     for name in models:
-        scored = durable(models[name].transform(test).select(LABEL, "probability", "prediction"))
+        scored = durable(models[name].transform(test).select(LABEL, "probability", "prediction"), folder)
         metrics.append(churn_metrics(scored, name))
         reports[name] = classification_report(scored)
     evaluated = metrics[0].unionByName(metrics[1])

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 
-from tidemark.functions.durable import durable, spread
+from tidemark.functions.durable import dealt_by, durable
 from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
 from tidemark.models.split import test_part, train_part, train_test_split
@@ -35,15 +35,29 @@ class LifetimeTraining(NamedTuple):
 
 
 def train_ltv_model(
-    features: DataFrame, rounds: int = 200, max_depth: int = 5, rate: float = 0.1, seed: int = 42
+    features: DataFrame,
+    rounds: int = 200,
+    max_depth: int = 5,
+    rate: float = 0.1,
+    seed: int = 42,
+    partitions: int = 32,
+    folder: str | None = None,
 ) -> LifetimeTraining:
-    """Predict total spend; ``features`` is read several times: pass a materialised frame."""
-    parts = durable(train_test_split(features.select("customer_id", "total_spend", *LTV_FEATURES), seed=seed))
+    """Predict total spend; ``features`` is read several times: pass a materialised frame.
+
+    ``partitions`` and ``folder`` are those of ``train_churn_model``.
+    """
+    rows = features.select("customer_id", "total_spend", *LTV_FEATURES)
+    parts = durable(train_test_split(rows, seed=seed), folder)
     train, test = train_part(parts), test_part(parts)
     assembler = VectorAssembler(inputCols=LTV_FEATURES, outputCol="features")
     boosted = GBTRegressor(
         labelCol="total_spend", maxIter=rounds, maxDepth=max_depth, stepSize=rate, seed=seed
-    ).fit(spread(assembler.transform(train).select("total_spend", "features")))
+    ).fit(
+        dealt_by(
+            assembler.transform(train).select("customer_id", "total_spend", "features"), "customer_id", partitions
+        )
+    )
     model = PipelineModel([assembler, boosted])
     return LifetimeTraining(
         model,

@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import spread
+from tidemark.functions.durable import dealt_by
 from tidemark.functions.rounding import round_even
 from tidemark.models.parallel import fit_all
 from tidemark.models.scaling import fit_scaler
@@ -37,14 +37,17 @@ class Segmentation(NamedTuple):
 
 
 def train_segmentation(
-    features: DataFrame, n_clusters: int = 4, restarts: int = 10, seed: int = 42
+    features: DataFrame, n_clusters: int = 4, restarts: int = 10, seed: int = 42, partitions: int = 32
 ) -> Segmentation:
     """Best of ``restarts`` k-means runs on all customers, with its silhouette and profiles.
 
-    ``features`` is read several times: pass a materialised frame.
+    ``features`` is read several times: pass a materialised frame.  ``partitions`` is that
+    of ``train_churn_model``.
     """
     scaler = fit_scaler(features, SEGMENT_FEATURES)
-    scaled = spread(scaler.transform(features).select("scaled")).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = dealt_by(
+        scaler.transform(features).select("customer_id", "scaled"), "customer_id", partitions
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     shared = {"k": n_clusters, "maxIter": 300, "tol": 1e-4, "featuresCol": "scaled", "predictionCol": "segment"}
     starts = [KMeans(seed=seed + i, **shared) for i in range(restarts)]
     runs = fit_all(features.sparkSession, [partial(start.fit, scaled) for start in starts])
