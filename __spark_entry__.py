@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+ROOT = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, ROOT)
 
 from checks import oracle
 from tidemark.functions.durable import durable, work_folder
@@ -452,4 +453,16 @@ def oracle_sql() -> dict[str, str]:
 
 def _llm_queries() -> dict[str, Query]:
     """The training-data operators, where their subpackage is present."""
-    return {} if llm is None else llm.queries() | {"pipeline": corpus_pipeline.run}
+    if llm is None:
+        return {}
+
+    def importable(query: Query) -> Query:
+        """Python workers import the operators' helpers from this folder, whatever theirs is."""
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: importable(q) for name, q in (llm.queries() | {"pipeline": corpus_pipeline.run}).items()}
