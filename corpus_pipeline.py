@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.durable import work_folder
-from tidemark.llm import bfd_packing, feistel, ngram_ratio, registry, trie_dedup
+from tidemark.llm import bfd_packing, chosen_path, feistel, ngram_ratio, registry, trie_dedup
 from tidemark.llm.common import read_table
 
 
@@ -23,7 +24,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Of documents that links of similarity 0.8 or more connect, the smallest doc_id stays."""
+    groups = chosen_path.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bfd_packing, feistel, ngram_ratio, trie_dedup
+from tidemark.llm import bfd_packing, chosen_path, feistel, ngram_ratio, trie_dedup
 from tidemark.llm.common import read_table
 
 WINDOW = 1024
@@ -43,6 +43,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_quality_rules,
             op6_pseudonyms,
             op9_packing,
+            op10_ngram_jaccard,
         )
     }
 
