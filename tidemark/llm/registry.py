@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bfd_packing, chosen_path, feistel, ngram_ratio, trie_dedup
+from tidemark.functions.durable import work_folder
+from tidemark.llm import (
+    bfd_packing,
+    chosen_path,
+    feistel,
+    fm_toxicity,
+    mincut_html,
+    ngram_ratio,
+    trie_dedup,
+    url_model,
+    warc_zstd,
+)
 from tidemark.llm.common import read_table
 
 WINDOW = 1024
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
 # A deployment gives its own secret; this one only makes the registered results repeatable.
 PSEUDONYM_KEY = b"registered-queries"
 
@@ -21,12 +40,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_model.filter_urls(pages, URL_RULES).drop("url")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = trie_dedup.exact_duplicates(docs, keep="largest")
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mincut_html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    machine = fm_toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(fold != 0))
+    scored = fm_toxicity.score(docs, machine)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ngram_ratio.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -37,6 +74,19 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    records = warc_zstd.round_trip(read_table(spark, sf_dir, "pages"), folder)
+    return records.select(
+        F.col("record_id").try_cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"),
+        "error",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     placed = bfd_packing.pack(docs, tokenizer_path(), WINDOW)
@@ -51,9 +101,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_url_filter,
             op2_exact_dedup,
+            op3_main_text,
+            op4_toxicity,
             op5_quality_rules,
             op6_pseudonyms,
+            op7_warc,
             op9_packing,
             op10_ngram_jaccard,
         )
