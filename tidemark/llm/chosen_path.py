@@ -3,11 +3,13 @@
 Each set starts at the root of a tree, once per run.  At a node it follows every token
 whose hash, which depends on the node, falls below 1 / (t * size): a pair with similarity
 t or more shares at least one child on average, whatever its sizes, while unlike sets part.
-A bucket is a node reached by two sets or more.  Buckets of at most ``leaf`` sets are
-compared pair by pair; larger ones are split by the next token, down to ``DEPTH`` tokens;
-what is still larger is compared in blocks, so no pair is lost to a cap.  Runs repeat until
-the recall asked for.  Pairs are pre-checked on 128-bit sketches, then verified on whole
-sets.  Rows with the same shingle set form one class first, which is never expanded.
+A bucket is a node reached by two sets or more; one of more than ``leaf`` sets is split by
+the next token, down to ``DEPTH`` tokens.  Within a bucket all pairs are compared on 128-bit
+sketches, in blocks where it is still large, so no pair is lost to a cap.  Runs repeat until
+the recall asked for.  Sets that sketches bring together form clusters, in which every pair
+is compared on the whole sets, again in blocks.  Groups give each set's links as a number
+and a representative, never as a list of pairs.  Rows with the same shingle set form one
+class first, which is never expanded.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tidemark.functions.durable import durable
 from tidemark.llm.words import mix, shingles, text_blocks, words
@@ -114,25 +117,30 @@ def set_id(tokens: np.ndarray) -> bytes:
 
 
 def sketch(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One bit of the minimum under each of ``SKETCH_BITS`` hash functions, in two numbers."""
+    """One bit of the minimum under each of ``SKETCH_BITS`` hash functions, in two numbers.
+
+    Tokens are mixed already: the product with an odd number is hash enough.
+    """
     step = max(1, 4_000_000 // len(tokens))
-    low = [mix(tokens[None, :] ^ seeds[at : at + step, None]).min(axis=1) for at in range(0, len(seeds), step)]
+    odd = seeds | np.uint64(1)
+    low = [(tokens[None, :] * odd[at : at + step, None]).min(axis=1) for at in range(0, len(odd), step)]
     bits = (mix(np.concatenate(low)) >> np.uint64(63)).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int, threshold: float, runs: int) -> DataFrame:
-    """(row_key, key, set_id, n, paths) of every row of ``docs`` (row_key, key, text)."""
-    roots = _seeds(runs, 1)
+    """(row_key, key, set_id, n, low, high, paths) of every row of ``docs`` (row_key, key, text)."""
+    roots, odd = _seeds(runs, 1), _seeds(SKETCH_BITS, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, sizes, first, counts, kids, ends = [], [], [], [], [], [0]
+                ids, sizes, sketches, first, counts, kids, ends = [], [], [], [], [], [], [0]
                 for tokens in shingle_sets(part.column(2), size):
                     ids.append(set_id(tokens))
                     sizes.append(len(tokens))
+                    sketches.append(sketch(tokens, odd) if len(tokens) else np.zeros(2, np.int64))
                     if len(tokens):
                         node1, count, kid = chosen_paths(tokens, roots, threshold)
                         first.append(node1)
@@ -156,45 +164,41 @@ def signatures(docs: DataFrame, size: int, threshold: float, runs: int) -> DataF
                         part.column(1),
                         pa.array(ids, pa.binary()),
                         pa.array(sizes, pa.int64()),
+                        pa.array([pair[0] for pair in sketches], pa.int64()),
+                        pa.array([pair[1] for pair in sketches], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes),
                     ],
-                    names=["row_key", "key", "set_id", "n", "paths"],
+                    names=["row_key", "key", "set_id", "n", "low", "high", "paths"],
                 )
 
     return docs.mapInArrow(
-        run, "row_key long, key long, set_id binary, n long, paths array<struct<node: long, kids: array<long>>>"
+        run,
+        "row_key long, key long, set_id binary, n long, low long, high long,"
+        " paths array<struct<node: long, kids: array<long>>>",
     )
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, n, tokens, low, high) of the classes of ``wanted`` (row_key, set_id), from one row each."""
-    seeds = _seeds(SKETCH_BITS, 2)
+    """``wanted`` (row_key, set_id, ...) with the ``tokens`` of its sets; rows that share a key may repeat one."""
+    extra = [c for c in wanted.columns if c not in ("row_key", "set_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, sets, sketches = [], [], []
-                for wanted_id, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size)):
-                    if set_id(tokens) == wanted_id:  # else another row of the same key
-                        ids.append(wanted_id)
+                keep, sets = [], []
+                for row, tokens in enumerate(shingle_sets(part.column(0), size)):
+                    if set_id(tokens) == part.column(1)[row].as_py():  # else another row of the same key
+                        keep.append(row)
                         sets.append(tokens.view(np.int64))
-                        sketches.append(sketch(tokens, seeds))
-                low, high = (np.array([s[i] for s in sketches], np.int64) for i in (0, 1))
+                rows = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(sets, pa.list_(pa.int64())),
-                        pa.array(low),
-                        pa.array(high),
-                    ],
-                    names=["set_id", "n", "tokens", "low", "high"],
+                    [*(c.take(rows) for c in part.columns[1:]), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["set_id", *extra, "tokens"],
                 )
 
-    rows = docs.join(wanted, "row_key").select("set_id", "text")
-    found = rows.mapInArrow(run, "set_id binary, n long, tokens array<long>, low long, high long")
-    return found.dropDuplicates(["set_id"])
+    rows = docs.join(wanted, "row_key").select("text", "set_id", *extra)
+    return rows.mapInArrow(run, rows.drop("text").schema.add("tokens", ArrayType(LongType())))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -225,51 +229,150 @@ def buckets(classes: DataFrame, leaf: int) -> DataFrame:
     return small(level1).unionByName(small(level2)).unionByName(level3)
 
 
-def candidate_pairs(found: DataFrame, sets: DataFrame, leaf: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of set ids that share a bucket and pass the size and sketch tests.
-
-    A bucket of more than ``leaf`` sets is dealt into blocks of about that size, every two
-    of which meet once: a group holds at most two blocks.
-    """
+def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Deal the rows of each ``group`` into ``blocks`` blocks and repeat them, so that any two
+    blocks meet in one (group, i, j); ``own`` is a row's block."""
+    number = rows.withColumn("_blocks", blocks.cast("int"))
+    own = number.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("_blocks")).cast("int"))
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    placed = met.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")})
+    placed = placed.drop("_blocks", "_other")
+    return placed.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.Table]:
+    """The groups of sorted rows by their first ``keys`` integer columns, across batches."""
+    pending: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(values[:, a])
+            if key != last and pending:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            last = key
+            pending.append(batch.slice(a, b - a))
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
+def _representatives(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the first row of its connected component."""
+    first = np.full(len(near), -1)
+    for row in range(len(near)):
+        if first[row] < 0:
+            first[row] = row
+            reached = np.array([row])
+            while len(reached):
+                reached = np.flatnonzero(near[reached].any(axis=0) & (first < 0))
+                first[reached] = row
+    return first
+
+
+def sketch_stars(found: DataFrame, classes: DataFrame, block: int, threshold: float) -> DataFrame:
+    """(a, b): each set of a bucket with a set near to it by size and sketch, and the first
+    set of those that it hangs together with."""
     agree = (1 + threshold) / 2
-    limit = math.floor(
-        SKETCH_BITS * (1 - agree) + SKETCH_SIGMAS * math.sqrt(SKETCH_BITS * agree * (1 - agree))
-    )
-    rows = found.join(sets.select("set_id", "n", "low", "high"), "set_id")
-    blocks = F.ceil(F.col("sets") / leaf).cast("int")
-    rows = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("set_id", "node"), blocks).cast("int")})
-
-    def side(name: str, first: bool) -> DataFrame:
-        other = F.explode(F.sequence("own", F.col("blocks") - 1) if first else F.sequence(F.lit(0), F.col("own")))
-        dealt = rows.select("node", "own", F.struct("set_id", "n", "low", "high").alias(name), other.alias("other"))
-        i, j = ("own", "other") if first else ("other", "own")
-        return dealt.select("node", F.col(i).alias("i"), F.col(j).alias("j"), name)
-
-    met = side("a", True).join(side("b", False), ["node", "i", "j"])
-    apart = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(
-        F.col("a.high").bitwiseXOR(F.col("b.high"))
-    )
-    near = (
-        ((F.col("i") != F.col("j")) | (F.col("a.set_id") < F.col("b.set_id")))
-        & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-        & (apart <= limit)
-    )
-    a, b = F.col("a.set_id"), F.col("b.set_id")
-    return met.where(near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard similarity of ``threshold`` or more."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right"))
-    common = F.size(F.array_intersect("left", "right"))
-    both = F.size("left") + F.size("right") - common
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", (common / both).alias("similarity")).where(
-        F.col("similarity") >= threshold - 1e-12
+    deviation = math.sqrt(SKETCH_BITS * agree * (1 - agree))
+    limit = SKETCH_BITS * (1 - agree) + SKETCH_SIGMAS * deviation
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, firsts = [], []
+        for group in whole_groups(batches):
+            if len(group) < 2:
+                continue
+            n, low, high = (group.column(c).to_numpy() for c in ("n", "low", "high"))
+            near = np.zeros((len(n), len(n)), dtype=bool)
+            for at in range(0, len(n), 256):
+                rows = slice(at, at + 256)
+                apart = np.bitwise_count((low[rows, None] ^ low).view(np.uint64)).astype(np.int16)
+                apart += np.bitwise_count((high[rows, None] ^ high).view(np.uint64))
+                near[rows] = (apart <= limit) & (
+                    np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n)
+                )
+            np.fill_diagonal(near, False)
+            first = _representatives(near)
+            rows = np.flatnonzero(first != np.arange(len(n)))
+            if len(rows):
+                ids = group.column("set_id").combine_chunks()
+                members += ids.take(pa.array(rows)).to_pylist()
+                firsts += ids.take(pa.array(first[rows])).to_pylist()
+            if len(members) > 5000:
+                yield pa.RecordBatch.from_pydict({"a": members, "b": firsts})
+                members, firsts = [], []
+        if members:
+            yield pa.RecordBatch.from_pydict({"a": members, "b": firsts})
+
+    rows = found.join(classes.select("set_id", "n", "low", "high"), "set_id")
+    dealt = in_blocks(rows, "node", F.ceil(F.col("sets") / block))
+    return (
+        dealt.select("node", "i", "j", "set_id", "n", "low", "high").mapInArrow(run, "a binary, b binary").distinct()
     )
 
 
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of the 0/1 incidence matrix in slices."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[token] > 1
+    _, token = np.unique(token[shared], return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = row[shared][order], token[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = max(1, 8_000_000 // len(sets))
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, (at, at + width))
+        slab = np.zeros((len(sets), width), dtype=np.float32)
+        slab[row[a:b], token[a:b] - at] = 1
+        common += slab @ slab.T
+    return common
+
+
+def cluster_links(members: DataFrame, block: int, block_tokens: int, threshold: float) -> DataFrame:
+    """(a, b, links): a set, the first set that it hangs together with in one group of blocks,
+    and the copies of the sets there whose similarity to it is ``threshold`` or more.
+
+    ``members``: cluster, sets and set_tokens of the cluster, set_id, copies, tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches):
+            ids = group.column("set_id").to_pylist()
+            once = sorted({key: row for row, key in enumerate(ids)}.values())  # repeated rows repeat a set
+            if len(once) < 2:
+                continue
+            own = group.column("own").to_numpy()[once]
+            copies = group.column("copies").to_numpy()[once].astype(float)
+            tokens = group.column("tokens").combine_chunks()
+            sets = [tokens[row].values.to_numpy() for row in once]
+            n = np.array([len(s) for s in sets], dtype=float)
+            common = common_tokens(sets)
+            linked = common >= threshold * (n[:, None] + n - common) - 1e-9
+            if own.min() != own.max():  # two blocks: pairs within one are met elsewhere
+                linked &= own[:, None] != own
+            np.fill_diagonal(linked, False)
+            first = _representatives(linked)
+            rows = np.flatnonzero(linked.any(axis=1))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[once[r]] for r in rows], pa.binary()),
+                        pa.array([ids[once[r]] for r in first[rows]], pa.binary()),
+                        pa.array((linked[rows] @ copies).astype(np.int64)),
+                    ],
+                    names=["a", "b", "links"],
+                )
+
+    blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("set_tokens") / block_tokens))
+    dealt = in_blocks(members, "cluster", blocks)
+    columns = ["cluster", "i", "j", "own", "set_id", "copies", "tokens"]
+    return dealt.select(columns).mapInArrow(run, "a binary, b binary, links long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(set_id, root): the smallest set id of each connected component of ``links`` (a, b).
 
@@ -307,6 +410,8 @@ def near_duplicates(
     size: int = 5,
     recall: float = 0.999,
     leaf: int = 32,
+    block: int = 1024,
+    block_tokens: int = 1 << 19,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
@@ -325,33 +430,30 @@ def near_duplicates(
     row_key = F.coalesce(number, F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63))))
     rows = docs.select(row_key.alias("row_key"), number.alias("key"), F.col(text).alias("text"))
     marked = durable(signatures(rows, size, threshold, runs_for(recall)))
-
-    worded = marked.where("n > 0")
-    classes = worded.groupBy("set_id").agg(
-        F.min("row_key").alias("row_key"),
-        F.min("key").alias("first"),
-        F.count(F.lit(1)).alias("copies"),
+    classes = durable(
+        marked.where("n > 0")
+        .groupBy("set_id")
+        .agg(
+            F.min("row_key").alias("row_key"),
+            F.min("key").alias("first"),
+            F.count(F.lit(1)).alias("copies"),
+            *[F.first(c).alias(c) for c in ("n", "low", "high", "paths")],
+        )
     )
-    classes = durable(classes)
-    paths = worded.select("row_key", "set_id", "paths").join(
-        classes.select("row_key", "set_id"), ["row_key", "set_id"]
+    found = buckets(classes.select("set_id", "paths"), leaf)
+    clusters = components(sketch_stars(found, classes, block, threshold))
+    sizes = clusters.join(classes.select("set_id", "row_key", "copies", "n"), "set_id")
+    totals = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("set_tokens"))
+    wanted = sizes.join(totals, "root").select(
+        "row_key", "set_id", "copies", F.xxhash64("root").alias("cluster"), "sets", "set_tokens"
     )
-    found = durable(buckets(paths.dropDuplicates(["set_id"]), leaf))
-    wanted = found.select("set_id").distinct().join(classes.select("set_id", "row_key"), "set_id")
-    sets = durable(whole_sets(rows.select("row_key", "text"), wanted, size))
-    links = durable(verified(candidate_pairs(found, sets, leaf, threshold), sets, threshold))
+    members = whole_sets(rows.select("row_key", "text"), wanted, size)
+    links = durable(cluster_links(members, block, block_tokens, threshold))
 
-    both = links.select(
-        F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    )
-    partners = (
-        both.join(classes.select(F.col("set_id").alias("b"), "copies"), "b")
-        .groupBy(F.col("a").alias("set_id"))
-        .agg(F.sum("copies").alias("partners"))
-    )
-    reached = components(links).join(classes.select("set_id", "first"), "set_id")
+    partners = links.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("partners"))
+    reached = components(links.where("a != b").select("a", "b")).join(classes.select("set_id", "first"), "set_id")
     lowest = reached.groupBy("root").agg(F.min("first").alias("class_id"))
-    linked = reached.join(lowest, "root").select("set_id", "class_id").join(partners, "set_id")
+    linked = reached.join(lowest, "root").select("set_id", "class_id").join(partners, "set_id", "left")
     known = durable(
         classes.join(linked, "set_id", "left").select(
             "set_id",

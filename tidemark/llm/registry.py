@@ -14,6 +14,7 @@ from tidemark.llm import (
     chosen_path,
     feistel,
     fm_toxicity,
+    lattice,
     mincut_html,
     ngram_ratio,
     trie_dedup,
@@ -87,6 +88,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents")
+    encoded = lattice.encode(docs, pieces, lattice.file_blocks(spark))
+    return lattice.decode(encoded, pieces).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     placed = bfd_packing.pack(docs, tokenizer_path(), WINDOW)
@@ -108,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_quality_rules,
             op6_pseudonyms,
             op7_warc,
+            op8_sentencepiece,
             op9_packing,
             op10_ngram_jaccard,
         )
