@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about this size
-_powers = {"n": 0}
+_powers = {"n": -1}
 
 
 class TextBlock(NamedTuple):
