@@ -115,11 +115,20 @@ class Pseudonyms:
         return refill(text, digits[:2] + str(rest).zfill(len(digits) - 2))
 
     def ip(self, text: str) -> str | None:
-        parts = [int(p) for p in text.split(".")]
-        if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
+        """Dotted quads; each part keeps its number of digits."""
+        parts = text.split(".")
+        if max(map(int, parts)) > 255 or any(len(p) > 1 and p[0] == "0" for p in parts):
             return None
-        value = self._permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip")
-        return ".".join(map(str, value.to_bytes(4, "big")))
+        first = {1: 0, 2: 10, 3: 100}
+        sizes = [{1: 10, 2: 90, 3: 156}[len(p)] for p in parts]
+        value, size = 0, 1
+        for part, count in zip(parts, sizes):
+            value, size = value * count + int(part) - first[len(part)], size * count
+        value, out = self._permute(value, size, f"ip{sizes}"), []
+        for part, count in zip(reversed(parts), reversed(sizes)):
+            value, place = divmod(value, count)
+            out.append(str(place + first[len(part)]))
+        return ".".join(reversed(out))
 
     def social(self, text: str) -> str | None:
         """US social security numbers: area 001 to 899 without 666, group from 01, serial from 0001."""
