@@ -268,14 +268,16 @@ def round_trip(
 ) -> DataFrame:
     """Write every row of ``pages`` as a record into ``folder`` and read all records back.
 
-    The dictionary is trained on the ``dictionary_pages`` rows that a hash puts first.  A
+    The dictionary is trained on about ``dictionary_pages`` rows, drawn by a hash.  A
     null content is an empty payload.  Of equal payloads the smallest key is the response;
     rows that repeat that key are responses too; null keys revisit, unless all keys of a
     payload are null.  A null url leaves the header out; extra columns are ignored;
     an empty table writes no archive and gives no rows.
     """
-    sample = pages.where(F.length(content) > 0).select(F.col(content).alias("html"), F.xxhash64(content).alias("h"))
-    chosen = sample.orderBy("h").limit(dictionary_pages).select("html").collect()
+    # About dictionary_pages rows in all, drawn by a hash, whatever the number of tasks.
+    share = min(1.0, dictionary_pages / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64(key, F.length(content)), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = pages.where(drawn & (F.length(content) > 0)).select(content).limit(2 * dictionary_pages).collect()
     dictionary = train_dictionary([row[0].encode() for row in chosen])
     written = write_archives(with_revisits(pages, key, content, uri, least), folder, dictionary)
     spark = pages.sparkSession
