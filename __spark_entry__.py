@@ -34,9 +34,6 @@ except ModuleNotFoundError as missing:
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-# Boosting costs a fixed number of jobs per round whatever the data size; the library
-# default of 200 rounds stays for real runs.
-CHECK_ROUNDS = 20
 
 _opened: dict[tuple[str, str, str], object] = {}
 
@@ -81,7 +78,11 @@ def _recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priced(*columns: str) -> Query:
-    return lambda spark, sf_dir: _recommendations(spark, sf_dir).select("customer_id", *columns)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        recs = decisions.priced(_scores(spark, sf_dir), _tables(spark, sf_dir).customers)
+        return recs.select("customer_id", *columns)
+
+    return query
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def _lifetime(spark: SparkSession, sf_dir: str) -> lifetime.LifetimeTraining:
         "lifetime",
         spark,
         sf_dir,
-        lambda: lifetime.train_ltv_model(_training_features(spark, sf_dir), rounds=CHECK_ROUNDS),
+        lambda: lifetime.train_ltv_model(_training_features(spark, sf_dir)),
     )
 
 
@@ -246,15 +247,11 @@ def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     columns = [
-        (t.customers, "gender"),
-        (t.customers, "country"),
-        (t.customers, "acquisition_channel"),
-        (t.subscriptions, "status"),
-        (t.events, "event_type"),
+        (t.customers, ["gender", "country", "acquisition_channel"]),
+        (t.subscriptions, ["status"]),
+        (t.events, ["event_type"]),
     ]
-    return profiling.union_all(
-        [profiling.value_counts(df, c).withColumn("dimension", F.lit(c)) for df, c in columns]
-    )
+    return profiling.union_all([profiling.value_counts_by_dimension(df, names) for df, names in columns])
 
 
 def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,13 +262,7 @@ def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _churn_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return profiling.union_all(
-        [
-            profiling.churn_by_dimension(t, d).withColumn("dimension", F.lit(d))
-            for d in ("country", "acquisition_channel", "gender")
-        ]
-    )
+    return profiling.churn_by_dimensions(_tables(spark, sf_dir), ["country", "acquisition_channel", "gender"])
 
 
 def _rounded_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,9 +290,6 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tables(spark, sf_dir),
         _scratch(spark, "pipeline"),
         as_of=star.AS_OF,
-        num_trees=20,
-        ltv_rounds=5,
-        restarts=2,
     ).summary
 
 

@@ -55,6 +55,11 @@ def cte(name: str, needs: list[str], sql: str) -> None:
     CTES[name] = (needs, sql)
 
 
+def seeded(seed: int) -> str:
+    """The first 32 bits of the MD5 of ``customer_id:seed``."""
+    return f"CAST('0x' || substr(md5(customer_id || ':{seed}'), 1, 8) AS BIGINT)"
+
+
 cte(
     "history",
     [],
@@ -210,7 +215,7 @@ cte(
     "obs",
     ["people"],
     f"""SELECT *, CAST(CASE WHEN is_churned = 0 OR churn_date IS NULL THEN {AS_OF}
-          WHEN w > 30 THEN churn_date - CAST(14 + (customer_id * 7919 + 123) % (least(60, w // 2) - 13) AS INTEGER)
+          WHEN w > 30 THEN churn_date - CAST(14 + {seeded(123)} % (least(60, w // 2) - 13) AS INTEGER)
           ELSE churn_date - CAST(greatest(1, w // 3) AS INTEGER) END AS DATE) AS obs_date
         FROM (SELECT *, churn_date - signup_date AS w FROM people)""",
 )
@@ -347,10 +352,10 @@ cte(
 cte(
     "split",
     ["feats"],
-    """SELECT *, place <= CAST(floor(members * 0.8::DOUBLE) AS BIGINT) AS is_train FROM (
+    f"""SELECT *, place <= CAST(floor(members * 0.8::DOUBLE) AS BIGINT) AS is_train FROM (
          SELECT *, count(*) OVER (PARTITION BY is_churned) AS members,
            row_number() OVER (PARTITION BY is_churned
-             ORDER BY (customer_id * 7919 + 42) % 65521, customer_id) AS place FROM feats)""",
+             ORDER BY {seeded(42)} % 65521, customer_id) AS place FROM feats)""",
 )
 
 

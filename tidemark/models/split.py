@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import seeded_number
+
 BUCKETS = 65_521  # prime; also the bound on histogram rows per class
 
 
@@ -13,13 +15,13 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``is_train``: exactly floor(share * n) rows of each class of ``label``.
 
-    Rows are ordered by (hash bucket of the key, key).  A histogram over the buckets
+    Rows are ordered by (bucket of a hash of key and seed, key).  A histogram over the buckets
     finds the bucket that holds the cut, only that bucket is ranked, and the resulting
     cut (one row per class) decides every row without shuffling the table.  ``label``
     must be a class column; None means one class.
     """
     stratum = F.lit(0) if label is None else F.col(label)
-    bucket = F.pmod(F.pmod(F.col(key), F.lit(BUCKETS)) * 7919 + seed, F.lit(BUCKETS))
+    bucket = F.coalesce(F.pmod(seeded_number(key, seed), F.lit(BUCKETS)), F.lit(0))
     rows = df.withColumns({"_stratum": stratum, "_bucket": bucket})
 
     so_far = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -85,8 +85,8 @@ def expected_roi() -> Column:
     return F.when(cost > 0, round_even(gain, 2)).otherwise(0.0)
 
 
-def recommendations(scores: DataFrame, customers: DataFrame) -> DataFrame:
-    """One priced recommendation per scored customer, the largest value at risk first."""
+def priced(scores: DataFrame, customers: DataFrame) -> DataFrame:
+    """One priced recommendation per scored customer, in no order."""
     return (
         with_intervention(
             customer_context(scores, customers)
@@ -96,10 +96,14 @@ def recommendations(scores: DataFrame, customers: DataFrame) -> DataFrame:
         .withColumn("expected_save_value", expected_save_value())
         .withColumn("expected_roi", expected_roi())
         .drop("success_rate")
-        .orderBy(F.desc("annual_risk_value"), "customer_id")
     )
 
 
+def recommendations(scores: DataFrame, customers: DataFrame) -> DataFrame:
+    """One priced recommendation per scored customer, the largest value at risk first."""
+    return priced(scores, customers).orderBy(F.desc("annual_risk_value"), "customer_id")
+
+
 def summary_report(recs: DataFrame) -> DataFrame:
     """One row: tier counts, value at risk, cost, savings and net return of acting."""
     tier = F.col("risk_tier")

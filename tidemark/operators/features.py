@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import seeded_number
 from tidemark.functions.rounding import dollars, round_even, total_cents
 from tidemark.sources.tables import Tables
 
@@ -52,12 +53,12 @@ EVENT_COUNTS = {
 def observation_date(as_of: str, seed: int = 123) -> Column:
     """The as-of date, or for a churned customer a day 14 to 60 days before the churn.
 
-    The offset is a hash of the customer id, so it does not depend on row order; the
+    The offset is a hash of the customer id and the seed, so it does not depend on row order; the
     earliest half of a short life is never reached.
     """
     window = F.datediff("churn_date", "signup_date")
     spread = F.least(F.lit(60), (window / 2).cast("int")) - 13
-    hashed = F.pmod(F.pmod("customer_id", spread) * 7919 + seed, spread).cast("int") + 14
+    hashed = F.pmod(seeded_number("customer_id", seed), spread).cast("int") + 14
     offset = F.when(window > 30, hashed).otherwise(F.greatest(F.lit(1), F.floor(window / 3).cast("int")))
     churned = (F.col("is_churned") == 1) & F.col("churn_date").isNotNull()
     return F.when(churned, F.date_sub("churn_date", offset)).otherwise(F.lit(as_of).cast("date"))
@@ -132,13 +133,21 @@ def txn_features_asof(transactions: DataFrame, observed: DataFrame) -> DataFrame
 
 
 def latest_subscription_asof(subscriptions: DataFrame, observed: DataFrame) -> DataFrame:
-    """Plan and recurring revenue in force at the observation date."""
-    return (
-        _until_observed(daily_plan(subscriptions), observed)
+    """Plan and recurring revenue in force at the observation date.
+
+    Plans go through the aggregations as numbers, which keeps those hash-based, and get
+    their names back from the short list of plans.
+    """
+    number = F.xxhash64("plan")
+    names = subscriptions.where(F.col("plan").isNotNull()).select(number.alias("number"), "plan").distinct()
+    coded = subscriptions.withColumn("plan", F.when(F.col("plan").isNotNull(), number))
+    latest = (
+        _until_observed(daily_plan(coded), observed)
         .groupBy("customer_id")
         .agg(*_plan_aggregates())
-        .select("customer_id", "plan", F.col("mrr").cast("double").alias("mrr"))
+        .select("customer_id", F.col("plan").alias("number"), F.col("mrr").cast("double").alias("mrr"))
     )
+    return latest.join(names, "number", "left").select("customer_id", "plan", "mrr")
 
 
 def event_features_asof(events: DataFrame, observed: DataFrame) -> DataFrame:
@@ -215,17 +224,14 @@ def feature_base(t: Tables, as_of: str = DEFAULT_AS_OF, seed: int = 123) -> Data
     )
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
-    """The sorted levels of low-cardinality columns; refuses columns that have too many."""
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The sorted levels of category columns: they become column names, so the driver holds them."""
     found = (
         df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns])))
         .where(F.col("level").isNotNull())
         .distinct()
-        .limit(max_levels + 1)
         .collect()
     )
-    if len(found) > max_levels:
-        raise ValueError(f"{', '.join(columns)} have more than {max_levels} levels")
     return {c: sorted(row["level"] for row in found if row["name"] == c) for c in columns}
 
 

@@ -110,13 +110,26 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def value_counts_by_dimension(df: DataFrame, dimensions: list[str]) -> DataFrame:
+    """``value_counts`` of several columns in one pass, with the column's name as ``dimension``."""
+    cells = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dimensions]
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .where(F.col("value").isNotNull())
+        .groupBy("dimension", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
 def _bin_columns(df: DataFrame, value: str, bins: int) -> tuple[Column, Column]:
     """Equal-width bin number of ``value`` and the bin's lower edge.
 
-    The range comes from scalar subqueries: two numbers, no join.
+    The range is one scalar subquery: a pair of numbers, no join.
     """
-    bounds = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    ends = df.agg(
+        F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).alias("ends")
+    ).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     width = (hi - lo) / F.lit(float(bins))
     number = F.floor((F.col(value).cast("double") - lo) / F.nullif(width, F.lit(0.0)))
     slot = F.least(F.coalesce(number, F.lit(0)), F.lit(bins - 1)).cast("bigint")
@@ -151,17 +164,24 @@ def histogram_by_status(profile: DataFrame, metrics: list[str], bins: int = 40)
     )
 
 
-def churn_by_dimension(t: Tables, dimension: str) -> DataFrame:
+def churn_by_dimensions(t: Tables, dimensions: list[str]) -> DataFrame:
+    """Churn rate per value of each column, in one pass, with the column's name as ``dimension``."""
+    cells = [F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dimensions]
     return (
-        t.customers.groupBy(F.col(dimension).alias("value"))
+        t.customers.select("is_churned", F.inline(F.array(*cells)))
+        .groupBy("dimension", "value")
         .agg(
             (F.sum("is_churned") / F.count("is_churned")).alias("churn_rate"),
             F.count("is_churned").alias("total"),
         )
-        .orderBy(F.desc("churn_rate"), "value")
     )
 
 
+def churn_by_dimension(t: Tables, dimension: str) -> DataFrame:
+    """Churn rate per value of one column, the highest first."""
+    return churn_by_dimensions(t, [dimension]).drop("dimension").orderBy(F.desc("churn_rate"), "value")
+
+
 def monthly_transactions(t: Tables) -> DataFrame:
     revenue = dollars(total_cents("amount"))
     return (

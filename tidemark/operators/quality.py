@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.profiling import union_all
@@ -17,11 +17,13 @@ PRIMARY_KEYS = {
 NULLABLE = {"churn_date", "end_date", "event_detail"}
 
 
-def _duplicate_keys(name: str, df: DataFrame, key: str, rule: str) -> DataFrame:
-    repeated = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return repeated.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), F.lit(rule).alias("rule"), "violations"
-    )
+def _duplicate_keys(name: str, df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Key values that occur more than once, for all of a table's keys in one aggregation."""
+    values = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in rules]
+    keys = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
+    repeated = keys.groupBy("column_name", "value").agg((F.count(F.lit(1)) > 1).alias("again"))
+    counts = repeated.agg(*[F.count_if(F.col("again") & (F.col("column_name") == c)).alias(c) for c in rules])
+    return _as_rows(name, counts, {c: (c, rule) for c, rule in rules.items()})
 
 
 def _required(df: DataFrame) -> list[str]:
@@ -62,8 +64,10 @@ def _missing_values_and_orphans(name: str, df: DataFrame, customers: DataFrame)
 def integrity_checks(t: Tables) -> DataFrame:
     """One row per rule with the number of violations (key values, rows or orphan rows)."""
     tables = t._asdict()
-    checks = [_duplicate_keys(n, df, PRIMARY_KEYS[n], "primary_key") for n, df in tables.items()]
-    checks.append(_duplicate_keys("customers", t.customers, "email", "unique"))
+    unique = {"customers": {"email": "unique"}}
+    checks = [
+        _duplicate_keys(n, df, {PRIMARY_KEYS[n]: "primary_key"} | unique.get(n, {})) for n, df in tables.items()
+    ]
     checks.append(_missing_values("customers", t.customers))
     checks += [
         _missing_values_and_orphans(n, df, t.customers) for n, df in tables.items() if n != "customers"
@@ -74,12 +78,15 @@ def integrity_checks(t: Tables) -> DataFrame:
 def upsert_by_key(base: DataFrame, batch: DataFrame, key: str, sequence: str) -> DataFrame:
     """``base`` with the rows of ``batch`` inserted or replaced by ``key``.
 
-    Of several batch rows with one key the highest ``sequence`` wins; the sequence column
-    is not part of the result.
+    Of several batch rows with one key the highest ``sequence`` wins, a missing one counts
+    as lowest, and of equal ones the row with the larger values, column by column.  Rows
+    without a key match nothing and are all inserted.  The sequence column is not part of
+    the result.  Spark cuts each key to its first row before the shuffle too.
     """
+    order = [F.desc_nulls_last(sequence), *[F.desc_nulls_last(c) for c in base.columns]]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     latest = (
-        batch.groupBy(key)
-        .agg(F.max_by(F.struct(*base.columns), F.col(sequence)).alias("row"))
-        .select("row.*")
+        batch.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").select(base.columns)
     )
-    return base.join(latest.select(key), key, "left_anti").unionByName(latest)
+    unkeyed = batch.where(F.col(key).isNull()).select(base.columns)
+    return base.join(latest.select(key), key, "left_anti").unionByName(latest).unionByName(unkeyed)

@@ -3,7 +3,8 @@
     spark-submit --py-files ... tidemark/plans/pipeline.py --input DIR --output DIR
 
 The feature matrix, the scores and the recommendations are written once and read back,
-so every later step starts from files that outlive any executor.
+so every later step starts from files that outlive any executor.  Splits and test scores
+go to ``<output>/work``.
 """
 
 from __future__ import annotations
@@ -57,12 +58,13 @@ def run_pipeline(
 ) -> PipelineResult:
     matrix = _written(features.feature_base(tables, as_of), f"{output}/features")
 
-    churned = churn.train_churn_model(matrix, num_trees=num_trees, seed=seed)
+    work = f"{output}/work"
+    churned = churn.train_churn_model(matrix, num_trees=num_trees, seed=seed, folder=work)
     best = churned.models[churned.best_model]
     save_model(best, f"{output}/models/churn")
     segmented = segments.train_segmentation(matrix, restarts=restarts, seed=seed)
     save_model(segmented.model, f"{output}/models/segmentation")
-    valued = lifetime.train_ltv_model(matrix, rounds=ltv_rounds, seed=seed)
+    valued = lifetime.train_ltv_model(matrix, rounds=ltv_rounds, seed=seed, folder=work)
     save_model(valued.model, f"{output}/models/ltv")
 
     scores = _written(churn.predict_churn(matrix, best), f"{output}/scores")

@@ -26,6 +26,7 @@ STAR_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
 }
+# Plans and their list prices.
 PLAN_NAMES = ["free", "starter", "pro", "enterprise"]
 PLAN_PRICES = [0, 19, 49, 149]
 
@@ -67,25 +68,31 @@ def subscriptions(orders: DataFrame) -> DataFrame:
     """One row per order; it ends when the customer's next order starts.
 
     The next order is found in two steps, so that a customer with a large share of all
-    orders is spread over its days: first within (customer, day), then, for the last
-    order of each day only, across the customer's days.  The second step sees at most
-    one row per calendar day and customer.
+    orders is spread over its days: first within (customer, day), then, from one row per
+    customer and day, the customer's next day.  One day of one customer is one task.
     """
     day = F.col("o_orderdate").cast("date")
     rows = orders.select("o_custkey", "o_orderkey", day.alias("day"))
 
     in_day = Window.partitionBy("o_custkey", "day").orderBy("o_orderkey")
-    rows = rows.withColumn("next_in_day", F.lead("o_orderkey").over(in_day)).withColumn(
-        "first_in_day", F.first("o_orderkey").over(in_day)
-    )
+    rows = rows.withColumn("next_in_day", F.lead("o_orderkey").over(in_day))
     closes_day = F.col("next_in_day").isNull()
-    lane = F.when(~closes_day, F.col("day"))
-    across = Window.partitionBy("o_custkey", lane).orderBy("day", "o_orderkey")
-    rows = (
-        rows.withColumn("later_day", F.lead("day").over(across))
-        .withColumn("later_key", F.lead("first_in_day").over(across))
-        .withColumn("next_day", F.when(closes_day, F.col("later_day")).otherwise(F.col("day")))
-        .withColumn("next_key", F.when(closes_day, F.col("later_key")).otherwise(F.col("next_in_day")))
+    across = Window.partitionBy("o_custkey").orderBy("day")
+    days = (
+        orders.groupBy("o_custkey", day.alias("day"))
+        .agg(F.min("o_orderkey").alias("first_in_day"))
+        .select(
+            "o_custkey",
+            "day",
+            F.lead("day").over(across).alias("later_day"),
+            F.lead("first_in_day").over(across).alias("later_key"),
+        )
+    )
+    rows = rows.join(days, ["o_custkey", "day"]).withColumns(
+        {
+            "next_day": F.when(closes_day, F.col("later_day")).otherwise(F.col("day")),
+            "next_key": F.when(closes_day, F.col("later_key")).otherwise(F.col("next_in_day")),
+        }
     )
 
     tier = F.col("o_orderkey") % 4

@@ -71,26 +71,44 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet", **options: str) -> Tables:
-    """Read ``<base_dir>/<table>`` for the four tables with their declared schemas."""
-    reader = spark.read.format(fmt).options(**options)
-    return Tables(*[reader.schema(schema).load(f"{base_dir}/{name}") for name, schema in SCHEMAS.items()])
+    """Read ``<base_dir>/<table>`` for the four tables and cast them to the declared types.
+
+    Files may hold other types, such as DOUBLE money, BIGINT ages or ISO text dates.  CSV
+    and JSON values are read as text and cast.
+    """
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        reader = spark.read.format(fmt).options(**options)
+        if fmt in ("csv", "json"):
+            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
+        return conform(reader.load(f"{base_dir}/{name}"), schema)
+
+    return Tables(*[read(name, schema) for name, schema in SCHEMAS.items()])
 
 
 def load_tables_jdbc(
-    spark: SparkSession, url: str, lower_id: int, upper_id: int, partitions: int, **options: str
+    spark: SparkSession, url: str, bounds: dict[str, tuple[int, int]], partitions: int, **options: str
 ) -> Tables:
-    """Read the four tables from a database, split into parallel ranges of customer_id."""
-    reader = spark.read.format("jdbc").options(
-        url=url,
-        partitionColumn="customer_id",
-        lowerBound=str(lower_id),
-        upperBound=str(upper_id),
-        numPartitions=str(partitions),
-        **options,
-    )
-    return Tables(
-        *[conform(reader.option("dbtable", name).load(), schema) for name, schema in SCHEMAS.items()]
-    )
+    """Read the four tables from a database, each in parallel ranges of its primary key.
+
+    ``bounds`` has the lowest and highest key of each table; a customer with many rows is
+    so spread over the ranges.
+    """
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        lower, upper = bounds[name]
+        reader = spark.read.format("jdbc").options(
+            url=url,
+            dbtable=name,
+            partitionColumn=schema[0].name,
+            lowerBound=str(lower),
+            upperBound=str(upper),
+            numPartitions=str(partitions),
+            **options,
+        )
+        return conform(reader.load(), schema)
+
+    return Tables(*[read(name, schema) for name, schema in SCHEMAS.items()])
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
