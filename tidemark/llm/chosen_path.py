@@ -323,8 +323,9 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(token, kind="stable")
     row, token = row[shared][order], token[order]
     common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = max(1, 8_000_000 // len(sets))
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+    tokens = int(token[-1]) + 1 if len(token) else 0
+    width = min(tokens, max(1, 8_000_000 // len(sets)))
+    for at in range(0, tokens, max(1, width)):
         a, b = np.searchsorted(token, (at, at + width))
         slab = np.zeros((len(sets), width), dtype=np.float32)
         slab[row[a:b], token[a:b] - at] = 1
