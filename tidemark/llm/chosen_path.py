@@ -285,6 +285,8 @@ def sketch_stars(found: DataFrame, classes: DataFrame, block: int, threshold: fl
         for group in whole_groups(batches):
             if len(group) < 2:
                 continue
+            # In order of ids, so that groups of the same sets name the same representative.
+            group = group.sort_by("set_id")
             n, low, high = (group.column(c).to_numpy() for c in ("n", "low", "high"))
             near = np.zeros((len(n), len(n)), dtype=bool)
             for at in range(0, len(n), 256):
@@ -342,6 +344,7 @@ def cluster_links(members: DataFrame, block: int, block_tokens: int, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches):
+            group = group.sort_by("set_id")
             ids = group.column("set_id").to_pylist()
             once = sorted({key: row for row, key in enumerate(ids)}.values())  # repeated rows repeat a set
             if len(once) < 2:
