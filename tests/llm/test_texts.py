@@ -387,7 +387,7 @@ def plain_viterbi(text, pieces):
         return []
     table = {piece: (score, number) for piece, number, score in pieces.pieces}
     marked = "▁" + text.replace(" ", "▁")
-    best = [(0.0, 0, 0, -1)]
+    best = [(0.0, 0, -1)]
     for end in range(1, len(marked) + 1):
         options = []
         for start in range(max(0, end - pieces.longest), end):
@@ -396,11 +396,11 @@ def plain_viterbi(text, pieces):
                 if end - start > 1:
                     continue
                 score = pieces.unknown_score
-            options.append((best[start][0] + score, best[start][1] - 1, -start, number))
+            options.append((best[start][0] + score, -start, number))
         best.append(max(options))
     ids, at = [], len(marked)
     while at:
-        _, _, start, number = best[at]
+        _, start, number = best[at]
         part = [number] if number >= 0 else [pieces.bytes[b] for b in marked[-start:at].encode()]
         ids, at = part + ids, -start
     return ids

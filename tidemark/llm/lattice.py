@@ -1,20 +1,20 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut at word ends into units that no piece spans; each different unit is encoded
-once.  All its substrings of bounded length are exploded and joined with the piece table;
+A text is cut into units wherever two characters meet that no piece has side by side, so no
+piece spans a cut; each different unit is encoded once.  All its substrings of bounded length are exploded and joined with the piece table;
 the matches are the edges of the unit's lattice, and a fold over them in order of their
 ends keeps for every place the best path there (Viterbi).  Unit encodings then go back to
 the blocks of documents that hold the unit, and each document's ids are put together from
 its own block's dictionary.
 
 The score of a segmentation is the sum of its pieces' scores (the unigram rule); of equal
-sums the one with fewer pieces wins, then the one whose last piece is longer.
+sums the one whose last piece is longest wins, then the one whose last but one is, and so on.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,14 +29,13 @@ UNKNOWN_PENALTY = 10.0
 
 
 class Pieces(NamedTuple):
-    """Text pieces with id and score, the ids of the 256 bytes, and the characters that stand alone.
+    """Text pieces with id and score, the ids of the 256 bytes, the length of the longest piece.
 
     The table is a fixed file (32,000 pieces), so it may be broadcast.
     """
 
     pieces: list[tuple[str, int, float]]
     bytes: list[int]
-    alone: str
     longest: int
 
     @property
@@ -55,30 +54,65 @@ def load_pieces(path: str) -> Pieces:
             fallback[int(piece[3:5], 16)] = number
         elif not (model.is_control(number) or model.is_unknown(number) or model.is_unused(number)):
             texts.append((piece, number, model.get_score(number)))
-    joined = set("".join(piece for piece, _, _ in texts if len(piece) > 1))
-    inner = {c for piece, _, _ in texts if SPACE in piece.lstrip(SPACE) for c in piece}
-    if inner:
-        raise ValueError("a piece spans the end of a word")
-    alone = "".join(c for c in map(chr, range(128)) if c not in joined)
-    return Pieces(texts, fallback, alone, max(len(piece) for piece, _, _ in texts))
+    longest = max(len(piece) for piece, _, _ in texts)
+    return Pieces(texts, fallback, longest)
 
 
-def unit_pattern(pieces: Pieces) -> str:
-    """Units: a character that is in no longer piece, spaces with the word after them, spaces alone."""
-    alone = "".join(f"\\x{ord(c):02x}" for c in pieces.alone)
-    return f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
+def unit_cutter(pieces: Pieces) -> Callable[[str], list[str]]:
+    """A function that gives the units of a text as SentencePiece sees it: a space in front,
+    spaces as a mark."""
+    pairs = {piece[i : i + 2] for piece, _, _ in pieces.pieces for i in range(len(piece) - 1)}
+    characters = sorted({c for pair in pairs for c in pair})
+    kind = np.zeros(0x110000, dtype=np.uint16)  # 0: in no pair
+    kind[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+    joined = np.zeros((len(characters) + 1, len(characters) + 1), dtype=bool)
+    for a, b in pairs:
+        joined[kind[ord(a)], kind[ord(b)]] = True
 
+    def cut(text: str) -> list[str]:
+        if not text:
+            return []
+        marked = SPACE + text.replace(" ", SPACE)
+        kinds = kind[np.frombuffer(marked.encode("utf-32-le"), "<u4")]
+        cuts = (np.flatnonzero(~joined[kinds[:-1], kinds[1:]]) + 1).tolist()
+        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)])]
 
-def prepared(text: Column) -> Column:
-    """The text as SentencePiece sees it: a space in front, spaces as a mark; empty texts stay empty."""
-    marked = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.length(text) > 0, marked)
+    return cut
 
 
-def unit_blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, blocks): every different unit of ``docs`` (block, key, text) and the blocks that hold it."""
-    units = docs.select("block", F.explode(F.regexp_extract_all(prepared(F.col("text")), F.lit(unit_pattern(pieces)), 0)).alias("unit"))
-    return units.groupBy("unit").agg(F.collect_set("block").alias("blocks"))
+def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1 << 18) -> DataFrame:
+    """(unit, blocks): every different unit of ``docs`` (block, key, text) and the blocks that hold it.
+
+    Tasks hold ``most`` units at a time and send each once a block.  A unit's lattice has
+    some forty times its rows, hence ``spread`` times the usual number of partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = unit_cutter(pieces)
+        seen: dict[int, set[str]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for number, units in seen.items():
+                rows = list(units)
+                for at in range(0, len(rows), 50_000):
+                    part = rows[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part, pa.string()), pa.array([number] * len(part), pa.int64())],
+                        names=["unit", "block"],
+                    )
+            seen.clear()
+
+        for batch in batches:
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if value:
+                    seen.setdefault(number, set()).update(cut(value))
+            if sum(map(len, seen.values())) > most:
+                yield from flush()
+        yield from flush()
+
+    partitions = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = docs.select("block", "text").mapInArrow(run, "unit string, block long")
+    return pairs.repartition(partitions, "unit").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
 
 
 def lattice_edges(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -95,76 +129,50 @@ def lattice_edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     found = parts.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     edge = F.struct(
         (F.col("start") + F.col("size")).alias("end"),
-        "start",
+        (-F.col("start")).alias("back"),
         F.coalesce("id", F.lit(-1)).alias("id"),
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
     )
     return found.select("unit", edge.alias("edge"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def best_paths(edges: DataFrame) -> DataFrame:
     """(unit, path): the (start, end, id) of the best segmentation of each unit.
 
-    The fold's state holds the nodes of all closed places and the best node so far of the
-    place where the current edges end; a place is closed when the first edge to a later
-    one comes.  Every place ends an edge, as each single character is one.
+    Edges come in order of their ends.  The forward fold holds the best score of every
+    closed place and that of the place where the current edges end; a place is closed when
+    the first edge to a later one comes.  Every place ends an edge, as each single
+    character is one.  The backward fold takes, from the end, the longest edge that the
+    best score of its end came over.
     """
-
-    def node(score: Column, count: Column, start: Column, id: Column) -> Column:
-        # Larger is better, in this order.
-        return F.struct(score.alias("score"), (-count).alias("fewer"), (-start).alias("longer"), id.alias("id"))
-
-    first = node(F.lit(0.0), F.lit(0), F.lit(0), F.lit(-1))
-    begin = F.struct(
-        F.slice(F.array(first), 1, 0).alias("closed"), F.lit(0).alias("end"), first.alias("top")
-    )
+    no_scores = F.slice(F.array(F.lit(0.0)), 1, 0)
+    begin = F.struct(no_scores.alias("closed"), F.lit(0).alias("end"), F.lit(0.0).alias("top"))
 
     def step(state: Column, edge: Column) -> Column:
-        later = edge.end > state.end
-        closed = F.when(later, F.concat(state.closed, F.array(state.top))).otherwise(state.closed)
-
-        def with_closed(nodes: Column) -> Column:
-            def with_before(before: Column) -> Column:
-                here = node(before.score + edge.score, 1 - before.fewer, edge.start, edge.id)
-                top = F.when(later, here).otherwise(F.greatest(state.top, here))
-                return F.struct(nodes.alias("closed"), edge.end.alias("end"), top.alias("top"))
-
-            return _let(F.element_at(nodes, edge.start + 1), with_before)
-
-        return _let(closed, with_closed)
-
-    # Back from the end: a node is on the path if the path goes on from its place.
-    def back(state: Column, node_: Column) -> Column:
-        hit = node_.place == state.place
-        start = -node_.node.longer
-        return F.struct(
-            F.when(hit, start).otherwise(state.place).alias("place"),
-            F.when(
-                hit,
-                F.concat(
-                    state.path,
-                    F.array(F.struct(start.alias("start"), node_.place.alias("end"), node_.node.id.alias("id"))),
-                ),
-            )
-            .otherwise(state.path)
-            .alias("path"),
-        )
+        def state_of(closed: Column, top: Column) -> Column:
+            return F.struct(closed.alias("closed"), edge.end.alias("end"), top.alias("top"))
+
+        # An edge that starts at the place just closed finds its score in top.
+        score = F.coalesce(F.get(state.closed, -edge.back), state.top) + edge.score
+        return F.when(
+            edge.end > state.end, state_of(F.concat(state.closed, F.array(state.top)), score)
+        ).otherwise(state_of(state.closed, F.greatest(state.top, score)))
 
     grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    folded = grouped.select("unit", F.aggregate("edges", begin, step).alias("state"))
-    nodes = folded.select(
-        "unit", F.concat("state.closed", F.array(F.col("state.top"))).alias("nodes"), F.col("state.end").alias("length")
+    folded = grouped.select("unit", "edges", F.aggregate("edges", begin, step).alias("state"))
+    scored = folded.select(
+        "unit", "edges", F.concat("state.closed", F.array(F.col("state.top"))).alias("best"), "state.end"
     )
-    numbered = F.reverse(F.transform("nodes", lambda n, i: F.struct(i.cast("int").alias("place"), n.alias("node"))))
-    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("id")))
-    start = F.struct(F.col("length").alias("place"), F.slice(none, 1, 0).alias("path"))
-    walk = F.aggregate(F.filter(numbered, lambda n: n.place > 0), start, back)
-    return nodes.select("unit", F.reverse(walk["path"]).alias("path"))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("id"))), 1, 0)
+
+    def back(state: Column, edge: Column) -> Column:
+        came = F.get("best", -edge.back) + edge.score == F.get("best", edge.end)
+        hop = F.struct((-edge.back).alias("start"), edge.end.alias("end"), edge.id.alias("id"))
+        taken = F.struct((-edge.back).alias("at"), F.concat(state.path, F.array(hop)).alias("path"))
+        return F.when((edge.end == state["at"]) & came, taken).otherwise(state)
+
+    walk = F.aggregate(F.reverse("edges"), F.struct(F.col("end").alias("at"), none.alias("path")), back)
+    return scored.select("unit", F.reverse(walk["path"]).alias("path"))
 
 
 def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -195,7 +203,6 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
     rows = docs.select(block.cast("long").alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
     known = unit_ids(unit_blocks(rows, pieces), pieces)
     words = known.select(F.explode("blocks").alias("block"), "unit", "ids")
-    pattern = unit_pattern(pieces)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = zstandard.ZstdCompressor(level=3)
@@ -209,14 +216,13 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
         decoder = zstandard.ZstdDecompressor()
         ids = words.column("ids").combine_chunks()
         flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        found = re.compile(pattern).findall
+        cut = unit_cutter(pieces)
         of = {unit: flat[a:b].tobytes() for unit, a, b in zip(words.column("unit").to_pylist(), ends[:-1], ends[1:])}
         plain, encoded = [], []
         for packed in texts.column("text").to_pylist():
             value = None if packed is None else decoder.decompress(packed).decode()
             plain.append(value)
-            units = found(SPACE + value.replace(" ", SPACE)) if value else []
-            encoded.append(b"".join([of[unit] for unit in units]))
+            encoded.append(b"".join([of[unit] for unit in cut(value)]) if value else b"")
         return pa.Table.from_arrays(
             [texts.column("key"), pa.array(plain, pa.string()), pa.array(encoded, pa.binary())], names=names
         )
@@ -248,7 +254,7 @@ def decode(encoded: DataFrame, pieces: Pieces, decoded: str = "decoded") -> Data
     return encoded.select(keep).mapInArrow(run, encoded.select(keep).schema.add(decoded, "string"))
 
 
-def file_blocks(spark: SparkSession, key: str = "doc_id", block_bytes: int = 16 << 20) -> Column:
+def file_blocks(spark: SparkSession, key: str = "doc_id", block_bytes: int = 8 << 20) -> Column:
     """Blocks of a frame read from files: the file split that holds the row, in parts of about ``block_bytes``."""
     size, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
     parts = max(1, (int(size) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]) // block_bytes)
