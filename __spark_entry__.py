@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from checks import oracle
+from checks import oracle, trained
 from tidemark.functions.durable import durable, work_folder
 from tidemark.functions.rounding import round_even
 from tidemark.models import churn, lifetime, metrics, scaling, segments, split
@@ -33,6 +33,7 @@ except ModuleNotFoundError as missing:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PROFILED = 42  # the customer of the one-customer profile
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 _opened: dict[tuple[str, str, str], object] = {}
@@ -175,29 +176,31 @@ def _standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _churn_model(name: str) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = _churn(spark, sf_dir).models[name].transform(_training_features(spark, sf_dir))
-        return scored.select("customer_id", "is_churned", "prediction")
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _churn(spark, sf_dir).models["RandomForest"]
+    return trained.beats_constant(_training_features(spark, sf_dir), model, "is_churned", "is_churned")
 
-    return query
 
-
-def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = _churn(spark, sf_dir)
-    return result.metrics.withColumn("is_best", F.col("model") == result.best_model)
+def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trained.stationary(_training_features(spark, sf_dir), _churn(spark, sf_dir).models["LogisticRegression"])
 
 
 def _churn_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importances of the forest, whether or not it was the better model."""
-    return churn.feature_importances(
-        _churn(spark, sf_dir).models["RandomForest"], _training_features(spark, sf_dir)
-    )
+    """Of the forest, whether or not it was the better model."""
+    forest = _churn(spark, sf_dir).models["RandomForest"]
+    return trained.sound_importances(churn.feature_importances(forest, _training_features(spark, sf_dir)))
 
 
 def _predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _churn(spark, sf_dir)
-    return churn.predict_churn(_training_features(spark, sf_dir), result.models[result.best_model])
+    return trained.tiers_agree(_training_features(spark, sf_dir), result.models[result.best_model])
+
+
+def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of fixed labels, whose silhouette has a closed form."""
+    rows = _training_features(spark, sf_dir)
+    scaled = scaling.fit_scaler(rows, segments.SEGMENT_FEATURES).transform(rows)
+    return segments.silhouette(scaled.withColumn("segment", (F.col("customer_id") % 4).cast("int")))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -205,13 +208,20 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the saved and reloaded model next to those of the fitted one."""
+    """All three models against what is saved of them and loaded again."""
     result = _churn(spark, sf_dir)
-    path = _scratch(spark, "churn-model")
-    save_model(result.models[result.best_model], path)
-    rows = _training_features(spark, sf_dir)
-    loaded = churn.predict_churn(rows, load_model(path)).select("customer_id", F.col("churn_probability").alias("reloaded"))
-    return _predict_churn(spark, sf_dir).select("customer_id", "churn_probability").join(loaded, "customer_id")
+    fitted = [
+        result.models[result.best_model],
+        _segmentation(spark, sf_dir).model,
+        _lifetime(spark, sf_dir).model,
+    ]
+    pairs = []
+    for model in fitted:
+        path = _scratch(spark, "model")
+        save_model(model, path)
+        pairs.append((model, load_model(path)))
+    outputs = ["probability", "segment", "prediction"]
+    return trained.same_predictions(_training_features(spark, sf_dir), pairs, outputs)
 
 
 def _regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,13 +230,12 @@ def _regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ltv_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _lifetime(spark, sf_dir).model.transform(_training_features(spark, sf_dir))
-    return scored.select("customer_id", "total_spend", "prediction")
+    model = _lifetime(spark, sf_dir).model
+    return trained.beats_constant(_training_features(spark, sf_dir), model, "total_spend", None)
 
 
 def _customer_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = _segmentation(spark, sf_dir).model.transform(_training_features(spark, sf_dir))
-    return labelled.select("customer_id", "segment")
+    return trained.settled(_training_features(spark, sf_dir), _segmentation(spark, sf_dir).model)
 
 
 def _monthly_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,11 +295,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_pipeline(
-        _tables(spark, sf_dir),
-        _scratch(spark, "pipeline"),
-        as_of=star.AS_OF,
-    ).summary
+    return trained.report_agrees(run_pipeline(_tables(spark, sf_dir), _scratch(spark, "pipeline"), as_of=star.AS_OF))
 
 
 # --- the contract ----------------------------------------------------------------------
@@ -364,18 +369,18 @@ def queries() -> dict[str, Query]:
         "segment_names": lambda spark, d: segments.name_segments(segments.segment_profiles(_labelled(spark, d))),
         "ltv_metrics": _regression,
         # trained models
-        "churn_random_forest": _churn_model("RandomForest"),
-        "churn_logistic": _churn_model("LogisticRegression"),
-        "select_best_model": _best_model,
+        "churn_random_forest": _forest,
+        "churn_logistic": _logistic,
+        "select_best_model": lambda spark, d: trained.best_is_higher(_churn(spark, d)),
         "churn_feature_importance": _churn_importance,
         "predict_churn": _predict_churn,
         "save_load_models": _save_load,
         "customer_segmentation": _customer_segmentation,
-        "silhouette": lambda spark, d: _segmentation(spark, d).silhouette,
-        "trained_segment_profiles": lambda spark, d: _segmentation(spark, d).profiles,
+        "silhouette": _silhouette,
+        "trained_segment_profiles": lambda spark, d: trained.complete_profiles(_segmentation(spark, d)),
         "ltv_model": _ltv_model,
-        "trained_ltv_metrics": lambda spark, d: _lifetime(spark, d).metrics,
-        "ltv_feature_importance": lambda spark, d: _lifetime(spark, d).feature_importances,
+        "trained_ltv_metrics": lambda spark, d: trained.recomputed(_training_features(spark, d), _lifetime(spark, d)),
+        "ltv_feature_importance": lambda spark, d: trained.sound_importances(_lifetime(spark, d).feature_importances),
         # decisions
         "customer_context": lambda spark, d: decisions.customer_context(
             _scores(spark, d), _tables(spark, d).customers
@@ -398,6 +403,8 @@ def queries() -> dict[str, Query]:
         "top_roi": on_recs(views.top_roi),
         "recommendation_table": on_recs(views.recommendation_table),
         "customer_lookup": on_recs(views.customer_lookup),
+        "customer_lookup_tier": on_recs(lambda r: views.customer_lookup(r, "High")),
+        "customer_profile": on_recs(lambda r: views.customer_profile(r, PROFILED)),
         # profiles
         "table_counts": on_tables(profiling.table_counts),
         "table_preview": on_tables(lambda t: profiling.table_preview(t.customers, "customer_id")),

@@ -497,6 +497,11 @@ def _correlations(pairs) -> str:
     )
 
 
+NUMERIC = """tenure_days age total_spend avg_order_value num_transactions current_mrr total_events login_count
+    feature_use_count support_ticket_count page_view_count events_last_30d events_last_7d days_since_last_event
+    plan_encoded avg_events_per_week support_ticket_ratio""".split()
+LTV = """tenure_days age num_transactions total_events login_count feature_use_count current_mrr plan_encoded
+    events_last_30d""".split()
 SCALED = [
     "tenure_days",
     "total_spend",
@@ -756,6 +761,56 @@ def oracle_sql() -> dict[str, str]:
            FROM recs""",
     )
 
+    add(
+        "customer_lookup_tier",
+        ["recs"],
+        """SELECT customer_id, churn_probability,
+             CAST(customer_id AS VARCHAR) || ' — ' || name || ' (' || coalesce(risk_tier, 'nan') || ' risk)' AS label
+           FROM recs WHERE risk_tier = 'High'""",
+    )
+    add("customer_profile", ["recs"], "SELECT * FROM recs WHERE customer_id = 42")
+
+    # trained models: what a right fit shows
+    add("churn_random_forest", ["split"], "SELECT count(*) AS test_rows, true AS better FROM split WHERE NOT is_train")
+    add("ltv_model", ["feats"], "SELECT count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS test_rows, true AS better FROM feats")
+    levels = " UNION ALL ".join(
+        f"SELECT DISTINCT '{prefix}_vector_' || {column} FROM people UNION ALL SELECT '{prefix}_vector___unknown'"
+        for column, prefix in (("acquisition_channel", "channel"), ("country", "country"))
+    )
+    numeric = ", ".join(f"('{name}')" for name in NUMERIC)
+    slots = f"(SELECT col0 AS feature FROM (VALUES {numeric}) UNION ALL {levels})"
+    add("churn_logistic", ["people"], f"SELECT feature, true AS stationary FROM {slots}")
+    add("churn_feature_importance", ["people"], f"SELECT feature, true AS sound FROM {slots}")
+    q["ltv_feature_importance"] = "SELECT col0 AS feature, true AS sound FROM (VALUES {})".format(
+        ", ".join(f"('{name}')" for name in LTV)
+    )
+    q["select_best_model"] = "SELECT col0 AS model, true AS right FROM (VALUES ('RandomForest'), ('LogisticRegression'))"
+    add("predict_churn", ["people"], "SELECT customer_id, true AS agrees FROM people")
+    add("save_load_models", ["people"], "SELECT customer_id, true AS same FROM people")
+    add("customer_segmentation", ["people"], "SELECT customer_id, true AS nearest, true AS centred FROM people")
+    add("trained_segment_profiles", ["people"], "SELECT CAST(4 AS BIGINT) AS segments, count(*) AS customers, true AS named FROM people")
+    q["trained_ltv_metrics"] = "SELECT col0 AS metric, true AS agrees FROM (VALUES ('mae'), ('r2'))"
+    q["run_pipeline"] = """SELECT col0 AS metric, true AS agrees FROM (VALUES ('total_customers'), ('high_risk_count'),
+        ('total_revenue_at_risk'), ('total_intervention_cost'), ('total_expected_savings'))"""
+    # With squared distances the mean distance to a cluster is |x|^2 + mean |y|^2 - 2 x . mean y.
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(SCALED))
+    square = " + ".join(f"z{i} * z{i}" for i in range(len(SCALED)))
+    means = ", ".join(f"avg(z{i}) AS m{i}" for i in range(len(SCALED)))
+    dot = " + ".join(f"z{i} * m{i}" for i in range(len(SCALED)))
+    add(
+        "silhouette",
+        ["feats"],
+        f"""SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette_score FROM (
+              SELECT customer_id, max(n) FILTER (WHERE segment = k) AS n,
+                max(d * n / (n - 1)) FILTER (WHERE segment = k) AS a, min(d) FILTER (WHERE segment <> k) AS b
+              FROM (SELECT customer_id, segment, k, n, norm + spread - 2 * ({dot}) AS d
+                    FROM (SELECT *, {square} AS norm FROM zs)
+                    CROSS JOIN (SELECT segment AS k, count(*) AS n, avg({square}) AS spread, {means} FROM zs GROUP BY 1))
+              GROUP BY customer_id)""".replace(
+            "FROM zs", f"FROM (SELECT customer_id, customer_id % 4 AS segment, {z} FROM feats)"
+        ),
+    )
+
     # profiles
     add(
         "table_counts",

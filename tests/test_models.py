@@ -53,6 +53,33 @@ def test_split_does_not_depend_on_row_order(spark):
     assert first.exceptAll(second).count() == 0 and first.count() == 4000
 
 
+def test_seeds_split_apart(spark):
+    df = spark.range(20_000).select(F.col("id").alias("customer_id"))
+    one, two = (train_test_split(df, seed=s).where("not is_train") for s in (42, 43))
+    shared = one.intersect(two).count()
+    assert one.count() == two.count() == 4000 and 700 < shared < 900
+
+
+def test_strided_keys_spread_over_the_buckets(spark):
+    from tidemark.functions.hashing import seeded_number
+    from tidemark.models.split import BUCKETS
+
+    keys = spark.range(20_000).select((F.col("id") * BUCKETS).alias("k"))
+    fullest = keys.groupBy(seeded_number("k", 42) % BUCKETS).count().agg(F.max("count")).first()[0]
+    assert fullest < 10
+
+
+def test_models_do_not_depend_on_the_layout(matrix):
+    few, many = matrix.coalesce(1), matrix.repartition(7, F.rand(3))
+    fits = [churn.train_churn_model(df, num_trees=5, max_depth=4, max_iter=20) for df in (few, many)]
+    a, b = (f.models["RandomForest"].stages[-1].featureImportances.toArray() for f in fits)
+    assert np.allclose(a, b, atol=1e-6)
+    centres = [
+        np.array(segments.train_segmentation(df, restarts=2).model.stages[-1].clusterCenters()) for df in (few, many)
+    ]
+    assert np.allclose(*centres, atol=1e-6)
+
+
 def test_scaler_uses_population_deviation(spark):
     values = np.array([[1.0, 5.0], [2.0, 5.0], [4.0, 5.0], [9.0, 5.0]])
     df = spark.createDataFrame([tuple(map(float, v)) for v in values], "a double, b double")
@@ -155,7 +182,7 @@ def test_pipeline_writes_everything(spark, tmp_path):
         tables_from_star(spark, SF_DIR), str(tmp_path), AS_OF, num_trees=5, ltv_rounds=2, restarts=1
     )
     written = {p.name for p in tmp_path.iterdir()}
-    assert written == {"features", "models", "scores", "recommendations", "summary"}
+    assert written == {"features", "models", "scores", "recommendations", "summary", "work"}
     assert result.recommendations.count() == result.scores.count() == 150
     stages = {r["stage"] for r in rows(result.summary)}
     assert stages == {"churn", "segmentation", "ltv", "report"}

@@ -109,6 +109,17 @@ def test_upsert_last_row_wins(spark):
     assert [tuple(r) for r in found] == [(1, "a"), (2, "y"), (3, None)]
 
 
+def test_upsert_loses_nothing(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id bigint, v string")
+    batch = spark.createDataFrame(
+        [(2, "x", None), (3, "y", None), (None, "p", 1), (None, "q", 2), (4, "s", 5), (4, "t", 5), (4, "z", None)],
+        "id bigint, v string, seq int",
+    )
+    found = quality.upsert_by_key(base, batch, "id", "seq").collect()
+    want = [(1, "a"), (2, "x"), (3, "y"), (4, "t"), (None, "n"), (None, "p"), (None, "q")]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_kpis_use_latest_month_and_plain_mean(spark):
     monthly = spark.createDataFrame(
         [("2024-02", 20.5, 5.0), ("2024-03", 10.25, -50.0)], "month string, revenue double, mom_growth_pct double"

@@ -20,6 +20,24 @@ def test_round_trip(spark, make_tables, tmp_path):
             assert rows(df) == rows(t._asdict()[name])
 
 
+def test_other_column_types(spark, make_tables, tmp_path):
+    t = make_tables([{}], [{"customer_id": 1}], [{"customer_id": 1, "amount": 1.25}], [{"customer_id": 1}])
+    for name, df in t._asdict().items():
+        loose = df.select(
+            *[
+                F.col(c).cast({"decimal(12,2)": "double", "int": "bigint", "date": "string"}.get(kind, kind)).alias(c)
+                for c, kind in df.dtypes
+            ]
+        )
+        loose.write.parquet(str(tmp_path / "loose" / name))
+        loose.write.option("header", True).csv(str(tmp_path / "csv" / name))
+    for fmt, options in (("parquet", {}), ("csv", {"header": "true"})):
+        back = load_tables(spark, str(tmp_path / ("loose" if fmt == "parquet" else fmt)), fmt, **options)
+        for name, df in back._asdict().items():
+            assert df.schema.simpleString() == t._asdict()[name].schema.simpleString()
+            assert rows(df) == rows(t._asdict()[name])
+
+
 def _orders(spark, customers, per_customer, hot):
     start = datetime(1999, 1, 1)
     listed, key = [], 0
