@@ -14,16 +14,19 @@ sums the one whose last piece is longest wins, then the one whose last but one i
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tidemark.llm.words import text_blocks
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -58,54 +61,73 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(texts, fallback, longest)
 
 
-def unit_cutter(pieces: Pieces) -> Callable[[str], list[str]]:
-    """A function that gives the units of a text as SentencePiece sees it: a space in front,
-    spaces as a mark."""
-    pairs = {piece[i : i + 2] for piece, _, _ in pieces.pieces for i in range(len(piece) - 1)}
-    characters = sorted({c for pair in pairs for c in pair})
-    kind = np.zeros(0x110000, dtype=np.uint16)  # 0: in no pair
-    kind[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
-    joined = np.zeros((len(characters) + 1, len(characters) + 1), dtype=bool)
-    for a, b in pairs:
-        joined[kind[ord(a)], kind[ord(b)]] = True
-
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        kinds = kind[np.frombuffer(marked.encode("utf-32-le"), "<u4")]
-        cuts = (np.flatnonzero(~joined[kinds[:-1], kinds[1:]]) + 1).tolist()
-        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)])]
-
-    return cut
-
-
-def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1 << 18) -> DataFrame:
+class Cutter:
+    """Cuts whole Arrow columns into units."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = {piece[i : i + 2] for piece, _, _ in pieces.pieces for i in range(len(piece) - 1)}
+        characters = sorted({c for pair in pairs for c in pair})
+        self.kind = np.zeros(0x110000, dtype=np.uint16)  # 0: in no pair
+        self.kind[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        self.joined = np.zeros((len(characters) + 1, len(characters) + 1), dtype=bool)
+        for a, b in pairs:
+            self.joined[self.kind[ord(a)], self.kind[ord(b)]] = True
+
+    def units(self, column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """For some rows at a time their units and each row's number of units.
+
+        The text is as SentencePiece sees it: a space in front, spaces as a mark.
+        """
+        for block in text_blocks(column, 2 << 20):
+            rows = column.slice(block.first, block.rows).cast(pa.large_string()).fill_null("")
+            marked = pc.binary_join_element_wise(
+                pa.scalar(SPACE, pa.large_string()),
+                pc.replace_substring(rows, " ", SPACE),
+                pa.scalar("", pa.large_string()),
+            )
+            marked = pc.if_else(pc.equal(pc.binary_length(rows), 0), pa.scalar("", pa.large_string()), marked)
+            offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+            data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            kinds = self.kind[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")]
+            starts = np.flatnonzero((data & 0xC0) != 0x80)
+            cut = np.ones(len(kinds), dtype=bool)
+            cut[1:] = ~self.joined[kinds[:-1], kinds[1:]]
+            edge = np.zeros(len(data) + 1, dtype=bool)
+            edge[offsets] = True
+            ends = np.append(starts[cut | edge[starts]], len(data))
+            units = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data.tobytes()))
+            yield units, np.diff(np.searchsorted(ends[:-1], offsets))
+
+
+def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1 << 21) -> DataFrame:
     """(unit, blocks): every different unit of ``docs`` (block, key, text) and the blocks that hold it.
 
-    Tasks hold ``most`` units at a time and send each once a block.  A unit's lattice has
-    some forty times its rows, hence ``spread`` times the usual number of partitions.
+    A task holds at most about ``most`` units at a time and sends each once a block.  A
+    unit's lattice has some forty times its rows, hence ``spread`` times the usual number
+    of partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = unit_cutter(pieces)
-        seen: dict[int, set[str]] = {}
+        cutter = Cutter(pieces)
+        seen: dict[int, pa.Array] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for number, units in seen.items():
-                rows = list(units)
-                for at in range(0, len(rows), 50_000):
-                    part = rows[at : at + 50_000]
+                for at in range(0, len(units), 50_000):
+                    part = units.slice(at, 50_000).cast(pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.string()), pa.array([number] * len(part), pa.int64())],
-                        names=["unit", "block"],
+                        [part, pa.array(np.full(len(part), number))], names=["unit", "block"]
                     )
             seen.clear()
 
         for batch in batches:
-            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if value:
-                    seen.setdefault(number, set()).update(cut(value))
+            for number in pc.unique(batch.column(0)).to_pylist():
+                texts = batch.column(1).filter(pc.equal(batch.column(0), number))
+                found = [pc.unique(units) for units, _ in cutter.units(texts)]
+                if number in seen:
+                    found.append(seen[number])
+                seen[number] = pc.unique(pa.concat_arrays(found))
             if sum(map(len, seen.values())) > most:
                 yield from flush()
         yield from flush()
@@ -205,27 +227,34 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
     words = known.select(F.explode("blocks").alias("block"), "unit", "ids")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = zstandard.ZstdCompressor(level=3)
+        encoder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = [t if t is None else encoder.compress(t.encode()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(texts, pa.binary())], names=["block", "key", "text"]
-            )
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [t if t is None else encoder.compress(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(texts, pa.binary())], names=["block", "key", "text"]
+                )
 
     def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
         decoder = zstandard.ZstdDecompressor()
+        packed = texts.column("text").to_pylist()
+        plain = pa.array([t if t is None else decoder.decompress(t) for t in packed], pa.binary()).cast(pa.string())
+        known = words.column("unit").combine_chunks().cast(pa.large_string())
         ids = words.column("ids").combine_chunks()
-        flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        cut = unit_cutter(pieces)
-        of = {unit: flat[a:b].tobytes() for unit, a, b in zip(words.column("unit").to_pylist(), ends[:-1], ends[1:])}
-        plain, encoded = [], []
-        for packed in texts.column("text").to_pylist():
-            value = None if packed is None else decoder.decompress(packed).decode()
-            plain.append(value)
-            encoded.append(b"".join([of[unit] for unit in cut(value)]) if value else b"")
-        return pa.Table.from_arrays(
-            [texts.column("key"), pa.array(plain, pa.string()), pa.array(encoded, pa.binary())], names=names
-        )
+        flat, starts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(starts)
+        parts, lengths = [], []
+        for units, counts in Cutter(pieces).units(plain):
+            found = pc.index_in(units, value_set=known).to_numpy(zero_copy_only=False)
+            size = sizes[found]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            parts.append(flat[np.repeat(starts[:-1][found] - ends[:-1], size) + np.arange(ends[-1])])
+            lengths.append(np.diff(ends[np.concatenate(([0], np.cumsum(counts)))]))
+        data = np.concatenate([np.zeros(0, "<u4"), *parts]).tobytes()
+        bounds = 4 * np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))))
+        encoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        return pa.Table.from_arrays([texts.column("key"), plain, encoded.cast(pa.binary())], names=names)
 
     names = [key, text, "ids"]
     packed = rows.mapInArrow(squeezed, rows.drop("text").schema.add("text", BinaryType()))
@@ -238,18 +267,39 @@ def decode(encoded: DataFrame, pieces: Pieces, decoded: str = "decoded") -> Data
 
     No ids give an empty text.
     """
-    texts = {number: piece.replace(SPACE, " ").encode() for piece, number, _ in pieces.pieces}
-    texts |= {number: bytes([value]) for value, number in enumerate(pieces.bytes)}
+    texts = [b""] * (1 + max([number for _, number, _ in pieces.pieces] + pieces.bytes))
+    for piece, number, _ in pieces.pieces:
+        texts[number] = piece.replace(SPACE, " ").encode()
+    for value, number in enumerate(pieces.bytes):
+        texts[number] = bytes([value])
     keep = [c for c in encoded.columns if c != decoded]
     place = keep.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(texts, pa.large_binary())
         for batch in batches:
-            rows = [
-                b"".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:].decode(errors="replace")
-                for ids in batch.column(place).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.string())], names=[*keep, decoded])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                column = part.column(place).cast(pa.large_binary())
+                bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                ids = np.frombuffer(column.buffers()[2] or b"", "<u4")[bounds[0] // 4 : bounds[-1] // 4]
+                joined = table.take(pa.array(ids))  # its bytes are those of the texts, one after another
+                ends = np.frombuffer(joined.buffers()[1], np.int64)[(bounds - bounds[0]) // 4]
+                data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
+                filled = np.diff(ends) > 0
+                kept = np.ones(ends[-1], dtype=bool)
+                kept[ends[:-1][filled]] = False  # the space in front
+                ends = ends - np.concatenate(([0], np.cumsum(filled)))
+                rows = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(),
+                    len(part),
+                    [None, pa.py_buffer(ends), pa.py_buffer(data[: len(kept)][kept].tobytes())],
+                )
+                try:
+                    rows = rows.cast(pa.large_string())
+                except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+                    rows = pa.array([row.decode(errors="replace") for row in rows.to_pylist()], pa.large_string())
+                yield pa.RecordBatch.from_arrays([*part.columns, rows.cast(pa.string())], names=[*keep, decoded])
 
     return encoded.select(keep).mapInArrow(run, encoded.select(keep).schema.add(decoded, "string"))
 

@@ -38,7 +38,7 @@ BOILERPLATE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content story post entry main body text".split())
 
 # Log odds of the classifier and weights of the smoothness edges.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, HEADING = -1.0, 0.15, 20, 1.0, 0.5
+BIAS, PER_WORD, MOST_WORDS, SENTENCE, HEADING = -1.0, 0.15, 20, 1.0, 1.5
 IN_ARTICLE, IN_BOILERPLATE, LINKED = 6.0, -16.0, -6.0
 BESIDE, SAME_PARENT, SAME_GRANDPARENT = 1.0, 1.0, 0.5
 
