@@ -84,7 +84,7 @@ def train_churn_model(
     max_depth: int = 10,
     max_iter: int = 1000,
     seed: int = 42,
-    partitions: int = 32,
+    partitions: int = 8,
     folder: str | None = None,
 ) -> ChurnTraining:
     """Fit both classifiers on the training share of ``features`` and evaluate on the rest.

@@ -40,7 +40,7 @@ def train_ltv_model(
     max_depth: int = 5,
     rate: float = 0.1,
     seed: int = 42,
-    partitions: int = 32,
+    partitions: int = 8,
     folder: str | None = None,
 ) -> LifetimeTraining:
     """Predict total spend; ``features`` is read several times: pass a materialised frame.

@@ -37,7 +37,7 @@ class Segmentation(NamedTuple):
 
 
 def train_segmentation(
-    features: DataFrame, n_clusters: int = 4, restarts: int = 10, seed: int = 42, partitions: int = 32
+    features: DataFrame, n_clusters: int = 4, restarts: int = 10, seed: int = 42, partitions: int = 8
 ) -> Segmentation:
     """Best of ``restarts`` k-means runs on all customers, with its silhouette and profiles.
 
