@@ -20,9 +20,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType
 
 from tidemark.llm.words import text_blocks
@@ -198,8 +198,9 @@ def best_paths(edges: DataFrame) -> DataFrame:
 
 
 def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units`` with ``ids``: the ids of each unit, unknown characters as those of their bytes."""
-    paths = best_paths(lattice_edges(units.select("unit"), pieces))
+    """``units`` with ``ids``, big-endian 32-bit numbers; unknown characters have those of their bytes."""
+    # Both uses of the units need their blocks, so they are one and the same shuffle.
+    paths = best_paths(lattice_edges(units.where(F.size("blocks") > 0).select("unit"), pieces))
     numbers = F.array(*map(F.lit, pieces.bytes))
 
     def as_bytes(edge: Column) -> Column:
@@ -210,7 +211,8 @@ def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
         )
 
     ids = F.flatten(F.transform("path", lambda e: F.when(e.id < 0, as_bytes(e)).otherwise(F.array(e.id))))
-    return units.join(paths.select("unit", ids.alias("ids")), "unit")
+    packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+    return units.join(paths.select("unit", packed.alias("ids")), "unit")
 
 
 def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -227,22 +229,31 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
     words = known.select(F.explode("blocks").alias("block"), "unit", "ids")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = zstandard.ZstdCompressor(level=1)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t if t is None else encoder.compress(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array(texts, pa.binary())], names=["block", "key", "text"]
-                )
+            for number in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), number)).select(["key", "text"])
+                for at in range(0, own.num_rows, 2000):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, own.schema, options=options) as stream:
+                        stream.write_batch(own.slice(at, 2000))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
+                        names=["block", "rows"],
+                    )
 
-    def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
-        decoder = zstandard.ZstdDecompressor()
-        packed = texts.column("text").to_pylist()
-        plain = pa.array([t if t is None else decoder.decompress(t) for t in packed], pa.binary()).cast(pa.string())
+    def put_together(packed: pa.Table, words: pa.Table) -> pa.Table:
+        held = [pa.ipc.open_stream(rows.as_buffer()).read_all() for rows in packed.column("rows").combine_chunks()]
+        if not held:
+            return pa.Table.from_pylist([], target)
+        texts = pa.concat_tables(held).combine_chunks()
+        plain = texts.column("text").combine_chunks()
+        if isinstance(plain, pa.ChunkedArray):
+            plain = pa.concat_arrays(plain.chunks)
         known = words.column("unit").combine_chunks().cast(pa.large_string())
-        ids = words.column("ids").combine_chunks()
-        flat, starts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy().astype(np.int64)
+        ids = words.column("ids").combine_chunks().cast(pa.large_binary())
+        starts = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", ">u4").astype("<u4")
         sizes = np.diff(starts)
         parts, lengths = [], []
         for units, counts in Cutter(pieces).units(plain):
@@ -254,11 +265,11 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
         data = np.concatenate([np.zeros(0, "<u4"), *parts]).tobytes()
         bounds = 4 * np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))))
         encoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-        return pa.Table.from_arrays([texts.column("key"), plain, encoded.cast(pa.binary())], names=names)
+        return pa.Table.from_arrays([texts.column("key"), plain, encoded.cast(pa.binary())], schema=target)
 
-    names = [key, text, "ids"]
-    packed = rows.mapInArrow(squeezed, rows.drop("text").schema.add("text", BinaryType()))
     schema = docs.select(key, text).schema.add("ids", BinaryType())
+    target = to_arrow_schema(schema)
+    packed = rows.mapInArrow(squeezed, "block long, rows binary")
     return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, schema)
 
 
