@@ -24,9 +24,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more connect, the smallest doc_id stays."""
-    groups = chosen_path.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Of documents that links of similarity 0.8 or more connect, the smallest doc_id stays.
+
+    Rows without a doc_id can't be told apart and stay.
+    """
+    others = chosen_path.near_duplicates(docs).where(F.col("doc_id") != F.col("class_id"))
+    return docs.join(others.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
