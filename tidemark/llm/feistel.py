@@ -97,23 +97,29 @@ class Pseudonyms:
         return refill(text, body + luhn_digit(body))
 
     def phone(self, text: str) -> str | None:
-        """North American numbers keep valid area and exchange codes; others keep their first two digits."""
+        """North American numbers keep area and exchange codes that may be assigned, or may not;
+        others keep their first two digits."""
         digits = re.sub(r"\D", "", text)
         north = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
         if len(north) == 10 and (len(digits) == 11 or not text.startswith("+")):
-            if north[0] in "01" or north[3] in "01":
-                return None
-            area, exchange, line = int(north[:3]) - 200, int(north[3:6]) - 200, int(north[6:])
-            value = self._permute((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "phone")
-            value, line = divmod(value, 10_000)
-            area, exchange = divmod(value, 800)
-            return refill(text, f"{digits[:-10]}{area + 200}{exchange + 200}{line:04d}")
+            valid = self._assignable(north)
+            if not valid and len(digits) == 10:
+                return None  # without the country code it may be any number
+            while True:  # along the cycle to the next number of the same kind
+                north = f"{self._permute(int(north), 10**10, 'phone'):010d}"
+                if self._assignable(north) == valid:
+                    return refill(text, digits[:-10] + north)
         if not text.startswith("+") or not 8 <= len(digits) <= 15 or digits[0] == "0":
             return None
         size = 10 ** (len(digits) - 2)
         rest = self._permute(int(digits[2:]), size, f"phone{digits[:2]}:{size}")
         return refill(text, digits[:2] + str(rest).zfill(len(digits) - 2))
 
+    @staticmethod
+    def _assignable(north: str) -> bool:
+        """Area and exchange codes of North American numbers begin with 2 to 9."""
+        return north[0] not in "01" and north[3] not in "01"
+
     def ip(self, text: str) -> str | None:
         """Dotted quads; each part keeps its number of digits."""
         parts = text.split(".")
