@@ -29,6 +29,7 @@ from tidemark.llm.words import text_blocks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+MANY = 100  # units of one block that are worth a packed row
 
 
 class Pieces(NamedTuple):
@@ -131,6 +132,7 @@ def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1
             if sum(map(len, seen.values())) > most:
                 yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()
 
     partitions = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = docs.select("block", "text").mapInArrow(run, "unit string, block long")
@@ -215,8 +217,24 @@ def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
     return units.join(paths.select("unit", packed.alias("ids")), "unit")
 
 
-def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, text, ids) of every row of ``docs``; ids are little-endian unsigned 32-bit numbers.
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    """Rows as one compressed value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_rows(column: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(value.as_buffer()).read_all() for chunk in column.chunks for value in chunk]
+
+
+def encode(
+    docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", key: str = "doc_id", verify: bool = False
+) -> DataFrame:
+    """(key, ids) of every row of ``docs``; ids are little-endian unsigned 32-bit numbers.
+
+    With ``verify`` there is also ``round_trip``: whether the ids decode to the text.
 
     ``block`` deals the rows into blocks that one task can hold (some tens of MB of text)
     and must be the same in every run; blocks that lie together in the input let its
@@ -226,96 +244,142 @@ def encode(docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", k
     """
     rows = docs.select(block.cast("long").alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
     known = unit_ids(unit_blocks(rows, pieces), pieces)
-    words = known.select(F.explode("blocks").alias("block"), "unit", "ids")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
             for number in pc.unique(batch.column(0)).to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), number)).select(["key", "text"])
                 for at in range(0, own.num_rows, 2000):
-                    out = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(out, own.schema, options=options) as stream:
-                        stream.write_batch(own.slice(at, 2000))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
-                        names=["block", "rows"],
-                    )
+                    packed = pa.array([packed_rows(own.slice(at, 2000))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), packed], names=["block", "rows"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per block and unit; where a block has many of a task's units, one row for those."""
+        names = ["block", "unit", "ids", "many"]
+        for batch in batches:
+            lists = batch.column(0)
+            size = pc.list_value_length(lists).to_numpy()
+            block, unit = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), size)
+            order = np.argsort(block, kind="stable")
+            block, unit = block[order], unit[order]
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else [0]
+            single = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a < MANY:
+                    single.append(np.arange(a, b))
+                    continue
+                own = batch.select(["unit", "ids"]).take(pa.array(unit[a:b]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[a : a + 1]),
+                        pa.nulls(1, pa.string()),
+                        pa.nulls(1, pa.binary()),
+                        pa.array([packed_rows(own)], pa.binary()),
+                    ],
+                    names=names,
+                )
+            if single:
+                rows = np.concatenate(single)
+                own = batch.select(["unit", "ids"]).take(pa.array(unit[rows]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[rows]), *own.columns, pa.nulls(len(rows), pa.binary())], names=names
+                )
 
     def put_together(packed: pa.Table, words: pa.Table) -> pa.Table:
-        held = [pa.ipc.open_stream(rows.as_buffer()).read_all() for rows in packed.column("rows").combine_chunks()]
-        if not held:
+        texts = unpacked_rows(packed.column("rows"))
+        if not texts:
             return pa.Table.from_pylist([], target)
-        texts = pa.concat_tables(held).combine_chunks()
-        plain = texts.column("text").combine_chunks()
-        if isinstance(plain, pa.ChunkedArray):
-            plain = pa.concat_arrays(plain.chunks)
-        known = words.column("unit").combine_chunks().cast(pa.large_string())
-        ids = words.column("ids").combine_chunks().cast(pa.large_binary())
+        many = pc.is_valid(words.column("many"))
+        units = [words.filter(pc.invert(many)).select(["unit", "ids"]), *unpacked_rows(words.column("many").filter(many))]
+        dictionary = pa.concat_tables(units).combine_chunks()
+        known, ids = (
+            pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in dictionary.column(name).chunks)])
+            for name, kind in (("unit", pa.large_string()), ("ids", pa.large_binary()))
+        )
         starts = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
         flat = np.frombuffer(ids.buffers()[2] or b"", ">u4").astype("<u4")
         sizes = np.diff(starts)
-        parts, lengths = [], []
-        for units, counts in Cutter(pieces).units(plain):
-            found = pc.index_in(units, value_set=known).to_numpy(zero_copy_only=False)
-            size = sizes[found]
-            ends = np.concatenate(([0], np.cumsum(size)))
-            parts.append(flat[np.repeat(starts[:-1][found] - ends[:-1], size) + np.arange(ends[-1])])
-            lengths.append(np.diff(ends[np.concatenate(([0], np.cumsum(counts)))]))
-        data = np.concatenate([np.zeros(0, "<u4"), *parts]).tobytes()
-        bounds = 4 * np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))))
-        encoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-        return pa.Table.from_arrays([texts.column("key"), plain, encoded.cast(pa.binary())], schema=target)
-
-    schema = docs.select(key, text).schema.add("ids", BinaryType())
+        cutter, decoder, out = Cutter(pieces), Decoder(pieces), []
+        for batch in (batch for table in texts for batch in table.to_batches()):
+            at = 0
+            for units, counts in cutter.units(batch.column(1)):
+                found = pc.index_in(units, value_set=known).to_numpy(zero_copy_only=False)
+                size = sizes[found]
+                ends = np.concatenate(([0], np.cumsum(size)))
+                data = flat[np.repeat(starts[:-1][found] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+                bounds = (4 * ends[np.concatenate(([0], np.cumsum(counts)))]).astype(np.int32)
+                encoded = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+                )
+                columns = [batch.column(0).slice(at, len(counts)), encoded]
+                if verify:
+                    plain = batch.column(1).slice(at, len(counts)).fill_null("")
+                    columns.append(pc.equal(decoder.texts(encoded), plain))
+                out.append(pa.RecordBatch.from_arrays(columns, schema=target))
+                at += len(counts)
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out, target)
+
+    schema = docs.select(key).schema.add("ids", BinaryType())
+    schema = schema.add("round_trip", "boolean") if verify else schema
     target = to_arrow_schema(schema)
+    words = known.select("blocks", "unit", "ids").mapInArrow(dealt, "block long, unit string, ids binary, many binary")
     packed = rows.mapInArrow(squeezed, "block long, rows binary")
     return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, schema)
 
 
+class Decoder:
+    """Decodes whole Arrow columns: the bytes of all pieces, one after another, are those of the texts."""
+
+    def __init__(self, pieces: Pieces):
+        texts = [b""] * (1 + max([number for _, number, _ in pieces.pieces] + pieces.bytes))
+        for piece, number, _ in pieces.pieces:
+            texts[number] = piece.replace(SPACE, " ").encode()
+        for value, number in enumerate(pieces.bytes):
+            texts[number] = bytes([value])
+        self.table = pa.array(texts, pa.large_binary())
+
+    def texts(self, column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_binary())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        ids = np.frombuffer(column.buffers()[2] or b"", "<u4")[bounds[0] // 4 : bounds[-1] // 4]
+        joined = self.table.take(pa.array(ids))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[(bounds - bounds[0]) // 4]
+        data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
+        filled = np.diff(ends) > 0
+        kept = np.ones(ends[-1], dtype=bool)
+        kept[ends[:-1][filled]] = False  # the space in front
+        ends = ends - np.concatenate(([0], np.cumsum(filled)))
+        data = data[: len(kept)][kept].tobytes()
+        rows = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(data)]
+        )
+        try:
+            return rows.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+            return pa.array([row.decode(errors="replace") for row in rows.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, pieces: Pieces, decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids``: pieces joined, spaces restored, the one in front taken off.
 
-    No ids give an empty text.
+    No ids, or null, give an empty text.
     """
-    texts = [b""] * (1 + max([number for _, number, _ in pieces.pieces] + pieces.bytes))
-    for piece, number, _ in pieces.pieces:
-        texts[number] = piece.replace(SPACE, " ").encode()
-    for value, number in enumerate(pieces.bytes):
-        texts[number] = bytes([value])
     keep = [c for c in encoded.columns if c != decoded]
     place = keep.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(texts, pa.large_binary())
+        decoder = Decoder(pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                column = part.column(place).cast(pa.large_binary())
-                bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-                ids = np.frombuffer(column.buffers()[2] or b"", "<u4")[bounds[0] // 4 : bounds[-1] // 4]
-                joined = table.take(pa.array(ids))  # its bytes are those of the texts, one after another
-                ends = np.frombuffer(joined.buffers()[1], np.int64)[(bounds - bounds[0]) // 4]
-                data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
-                filled = np.diff(ends) > 0
-                kept = np.ones(ends[-1], dtype=bool)
-                kept[ends[:-1][filled]] = False  # the space in front
-                ends = ends - np.concatenate(([0], np.cumsum(filled)))
-                rows = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(),
-                    len(part),
-                    [None, pa.py_buffer(ends), pa.py_buffer(data[: len(kept)][kept].tobytes())],
-                )
-                try:
-                    rows = rows.cast(pa.large_string())
-                except pa.ArrowInvalid:  # byte pieces that are no UTF-8
-                    rows = pa.array([row.decode(errors="replace") for row in rows.to_pylist()], pa.large_string())
-                yield pa.RecordBatch.from_arrays([*part.columns, rows.cast(pa.string())], names=[*keep, decoded])
+                texts = decoder.texts(part.column(place).fill_null(b""))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*keep, decoded])
 
     return encoded.select(keep).mapInArrow(run, encoded.select(keep).schema.add(decoded, "string"))
 
 
-def file_blocks(spark: SparkSession, key: str = "doc_id", block_bytes: int = 8 << 20) -> Column:
+def file_blocks(spark: SparkSession, key: str = "doc_id", block_bytes: int = 16 << 20) -> Column:
     """Blocks of a frame read from files: the file split that holds the row, in parts of about ``block_bytes``."""
     size, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
     parts = max(1, (int(size) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]) // block_bytes)
