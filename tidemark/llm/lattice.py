@@ -13,14 +13,14 @@ sums the one whose last piece is longest wins, then the one whose last but one i
 
 from __future__ import annotations
 
-import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType
@@ -29,7 +29,6 @@ from tidemark.llm.words import text_blocks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MANY = 100  # units of one block that are worth a packed row
 
 
 class Pieces(NamedTuple):
@@ -229,6 +228,38 @@ def unpacked_rows(column: pa.ChunkedArray) -> list[pa.Table]:
     return [pa.ipc.open_stream(value.as_buffer()).read_all() for chunk in column.chunks for value in chunk]
 
 
+def packed_units(units: pa.Array, ids: pa.Array) -> bytes:
+    """Units and the bytes of their ids as one compressed value: number and size, lengths, bytes."""
+
+    def parts(column: pa.Array) -> tuple[np.ndarray, bytes]:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.diff(offsets).astype("<u4").tobytes(), (column.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+
+    (long, letters), (wide, numbers) = parts(units), parts(ids)
+    body = b"".join((long, wide, letters, numbers))
+    return struct.pack("<II", len(units), len(body)) + pa.Codec("zstd", 3).compress(body, asbytes=True)
+
+
+def unpacked_units(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All units of some packed values, how many ids each has, and those ids."""
+    long, wide, letters, numbers = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")], [], []
+    codec = pa.Codec("zstd")
+    for value in (value for chunk in column.chunks for value in chunk):
+        value = value.as_py()
+        n, size = struct.unpack_from("<II", value)
+        body = codec.decompress(value[8:], size, asbytes=True)
+        lengths = np.frombuffer(body, "<u4", 2 * n)
+        end = 8 * n + int(lengths[:n].sum())
+        long.append(lengths[:n])
+        wide.append(lengths[n:])
+        letters.append(body[8 * n : end])
+        numbers.append(body[end:])
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(long), dtype=np.int64)))
+    units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(b"".join(letters)))
+    flat = np.frombuffer(b"".join(numbers), ">u4").astype("<u4")
+    return units, np.concatenate(wide).astype(np.int64) // 4, flat
+
+
 def encode(
     docs: DataFrame, pieces: Pieces, block: Column, text: str = "text", key: str = "doc_id", verify: bool = False
 ) -> DataFrame:
@@ -254,51 +285,28 @@ def encode(
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), packed], names=["block", "rows"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per block and unit; where a block has many of a task's units, one row for those."""
-        names = ["block", "unit", "ids", "many"]
+        """For each block its units of a batch, packed."""
         for batch in batches:
             lists = batch.column(0)
             size = pc.list_value_length(lists).to_numpy()
             block, unit = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), size)
             order = np.argsort(block, kind="stable")
             block, unit = block[order], unit[order]
-            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else [0]
-            single = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a < MANY:
-                    single.append(np.arange(a, b))
-                    continue
-                own = batch.select(["unit", "ids"]).take(pa.array(unit[a:b]))
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else order
+            packed = [
+                packed_units(*(batch.column(c).take(pa.array(rows)) for c in (1, 2))) for rows in np.split(unit, first[1:])
+            ]
+            if len(block):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[a : a + 1]),
-                        pa.nulls(1, pa.string()),
-                        pa.nulls(1, pa.binary()),
-                        pa.array([packed_rows(own)], pa.binary()),
-                    ],
-                    names=names,
-                )
-            if single:
-                rows = np.concatenate(single)
-                own = batch.select(["unit", "ids"]).take(pa.array(unit[rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[rows]), *own.columns, pa.nulls(len(rows), pa.binary())], names=names
+                    [pa.array(block[first]), pa.array(packed, pa.binary())], names=["block", "units"]
                 )
 
     def put_together(packed: pa.Table, words: pa.Table) -> pa.Table:
         texts = unpacked_rows(packed.column("rows"))
         if not texts:
             return pa.Table.from_pylist([], target)
-        many = pc.is_valid(words.column("many"))
-        units = [words.filter(pc.invert(many)).select(["unit", "ids"]), *unpacked_rows(words.column("many").filter(many))]
-        dictionary = pa.concat_tables(units).combine_chunks()
-        known, ids = (
-            pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in dictionary.column(name).chunks)])
-            for name, kind in (("unit", pa.large_string()), ("ids", pa.large_binary()))
-        )
-        starts = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
-        flat = np.frombuffer(ids.buffers()[2] or b"", ">u4").astype("<u4")
-        sizes = np.diff(starts)
+        known, sizes, flat = unpacked_units(words.column("units"))
+        starts = np.cumsum(sizes) - sizes
         cutter, decoder, out = Cutter(pieces), Decoder(pieces), []
         for batch in (batch for table in texts for batch in table.to_batches()):
             at = 0
@@ -306,7 +314,7 @@ def encode(
                 found = pc.index_in(units, value_set=known).to_numpy(zero_copy_only=False)
                 size = sizes[found]
                 ends = np.concatenate(([0], np.cumsum(size)))
-                data = flat[np.repeat(starts[:-1][found] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+                data = flat[np.repeat(starts[found] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
                 bounds = (4 * ends[np.concatenate(([0], np.cumsum(counts)))]).astype(np.int32)
                 encoded = pa.BinaryArray.from_buffers(
                     pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
@@ -323,7 +331,7 @@ def encode(
     schema = docs.select(key).schema.add("ids", BinaryType())
     schema = schema.add("round_trip", "boolean") if verify else schema
     target = to_arrow_schema(schema)
-    words = known.select("blocks", "unit", "ids").mapInArrow(dealt, "block long, unit string, ids binary, many binary")
+    words = known.select("blocks", "unit", "ids").mapInArrow(dealt, "block long, units binary")
     packed = rows.mapInArrow(squeezed, "block long, rows binary")
     return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(put_together, schema)
 
@@ -379,8 +387,15 @@ def decode(encoded: DataFrame, pieces: Pieces, decoded: str = "decoded") -> Data
     return encoded.select(keep).mapInArrow(run, encoded.select(keep).schema.add(decoded, "string"))
 
 
-def file_blocks(spark: SparkSession, key: str = "doc_id", block_bytes: int = 16 << 20) -> Column:
-    """Blocks of a frame read from files: the file split that holds the row, in parts of about ``block_bytes``."""
-    size, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
-    parts = max(1, (int(size) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]) // block_bytes)
-    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64(key), F.lit(parts)))
+def file_blocks(docs: DataFrame, key: str = "doc_id", block_bytes: int = 16 << 20) -> Column:
+    """Blocks of about ``block_bytes`` for a frame read from files.
+
+    A file split is cut into parts of that size; splits under half of it are put together.
+    """
+    path, start, length = (F.col(f"_metadata.file_{name}") for name in ("path", "block_start", "block_length"))
+    small = length < block_bytes // 2
+    splits = docs.select(path.alias("path"), start.alias("start"), length.alias("length")).distinct()
+    total = splits.where(F.col("length") < block_bytes // 2).agg(F.sum("length")).first()[0] or 0
+    together = F.pmod(F.xxhash64(path, start), F.lit(-(-total // block_bytes) or 1))
+    part = F.pmod(F.xxhash64(key), F.ceil(length / block_bytes))
+    return F.when(small, together).otherwise(F.xxhash64(path, start, part))

@@ -93,7 +93,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = read_table(spark, sf_dir, "documents")
-    encoded = lattice.encode(docs, pieces, lattice.file_blocks(spark), verify=True)
+    encoded = lattice.encode(docs, pieces, lattice.file_blocks(docs), verify=True)
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
