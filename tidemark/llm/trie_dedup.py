@@ -9,7 +9,6 @@ of the task and goes on; spilled subtrees are built one at a time afterwards.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
