@@ -36,10 +36,10 @@ def test_aggregations_are_hashed(spark, name):
     assert not count(plan(spark, name), "SortAggregate")
 
 
-def test_subscriptions_shuffle_orders_once_and_days_once_more(spark):
+def test_subscriptions_shuffle_orders_twice(spark):
     text = plan(spark, "load_subscriptions")
-    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 4
-    assert count(text, "Window") == 2
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
+    assert len(re.findall(r"Window \[", text)) == 2
 
 
 @pytest.mark.parametrize("name, scans", [("churn_by_dimension", 1), ("integrity_checks", 6)])

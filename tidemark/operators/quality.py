@@ -19,8 +19,13 @@ NULLABLE = {"churn_date", "end_date", "event_detail"}
 
 def _duplicate_keys(name: str, df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Key values that occur more than once, for all of a table's keys in one aggregation."""
-    values = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in rules]
-    keys = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
+    if len(rules) == 1:  # one key keeps its own type
+        (key,) = rules
+        keys = df.select(F.lit(key).alias("column_name"), F.col(key).alias("value"))
+    else:
+        values = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in rules]
+        keys = df.select(F.inline(F.array(*values)))
+    keys = keys.where(F.col("value").isNotNull())
     repeated = keys.groupBy("column_name", "value").agg((F.count(F.lit(1)) > 1).alias("again"))
     counts = repeated.agg(*[F.count_if(F.col("again") & (F.col("column_name") == c)).alias(c) for c in rules])
     return _as_rows(name, counts, {c: (c, rule) for c, rule in rules.items()})

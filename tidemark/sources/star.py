@@ -68,31 +68,30 @@ def subscriptions(orders: DataFrame) -> DataFrame:
     """One row per order; it ends when the customer's next order starts.
 
     The next order is found in two steps, so that a customer with a large share of all
-    orders is spread over its days: first within (customer, day), then, from one row per
-    customer and day, the customer's next day.  One day of one customer is one task.
+    orders is spread over its days: first within (customer, day), then, for the last
+    order of each day only, across the customer's days.  The second step sees at most
+    one row per calendar day and customer; other rows keep lanes of their own day.  Each
+    step is one shuffle.
     """
     day = F.col("o_orderdate").cast("date")
-    rows = orders.select("o_custkey", "o_orderkey", day.alias("day"))
-
     in_day = Window.partitionBy("o_custkey", "day").orderBy("o_orderkey")
-    rows = rows.withColumn("next_in_day", F.lead("o_orderkey").over(in_day))
+    across = Window.partitionBy("o_custkey", "lane").orderBy("day", "o_orderkey")
     closes_day = F.col("next_in_day").isNull()
-    across = Window.partitionBy("o_custkey").orderBy("day")
-    days = (
-        orders.groupBy("o_custkey", day.alias("day"))
-        .agg(F.min("o_orderkey").alias("first_in_day"))
+    rows = (
+        orders.select("o_custkey", "o_orderkey", day.alias("day"))
         .select(
-            "o_custkey",
-            "day",
-            F.lead("day").over(across).alias("later_day"),
-            F.lead("first_in_day").over(across).alias("later_key"),
+            "*",
+            F.lead("o_orderkey").over(in_day).alias("next_in_day"),
+            F.first("o_orderkey").over(in_day).alias("first_in_day"),
+        )
+        .withColumn("lane", F.when(~closes_day, F.col("day")))
+        .select("*", F.lead("day").over(across).alias("later_day"), F.lead("first_in_day").over(across).alias("later_key"))
+        .withColumns(
+            {
+                "next_day": F.when(closes_day, F.col("later_day")).otherwise(F.col("day")),
+                "next_key": F.when(closes_day, F.col("later_key")).otherwise(F.col("next_in_day")),
+            }
         )
-    )
-    rows = rows.join(days, ["o_custkey", "day"]).withColumns(
-        {
-            "next_day": F.when(closes_day, F.col("later_day")).otherwise(F.col("day")),
-            "next_key": F.when(closes_day, F.col("later_key")).otherwise(F.col("next_in_day")),
-        }
     )
 
     tier = F.col("o_orderkey") % 4
