@@ -70,6 +70,31 @@ def test_trie_holds_every_string_within_its_bound():
         assert sorted(trie.terminals()) == sorted((s, o, times[s]) for s, o in first.items())
 
 
+def test_trie_keeps_what_lies_below_a_split_spilled_edge():
+    trie = trie_dedup.PatriciaTrie(min, 10)
+    texts = [b"abcdefgh", b"xyz", b"abQQQQQQQQ"]
+    for owner, s in enumerate(texts):
+        trie.insert(s, owner)
+    assert sorted(trie.terminals()) == sorted((s, o, 1) for o, s in enumerate(texts))
+
+    draw = random.Random(8)
+    shared = bytes(draw.choices(b"abcdef", k=400))  # long prefixes that part earlier and earlier
+    texts = [shared[: 400 - 7 * (i // 4)] + bytes(draw.choices(b"uvwxyz", k=60)) for i in range(200)]
+    for limit in (64, 500, 3000):
+        trie = trie_dedup.PatriciaTrie(min, limit)
+        for owner, s in enumerate(texts + texts):
+            trie.insert(s, owner)
+        assert sorted(trie.terminals()) == sorted((s, o, 2) for o, s in enumerate(texts))
+
+
+def test_a_text_without_owner_fails(spark, monkeypatch):
+    docs = documents(spark, ["a", "b", "b"])
+    whole = trie_dedup.text_owners
+    monkeypatch.setattr(trie_dedup, "text_owners", lambda *a: whole(*a).where("group_size > 1"))
+    with pytest.raises(Exception, match="no owner"):
+        trie_dedup.exact_duplicates(docs).where("kept").collect()
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_duplicates(spark, odd, keep):
     got = trie_dedup.exact_duplicates(odd, keep=keep, limit=100_000).select(

@@ -92,12 +92,28 @@ class PatriciaTrie:
         top = max((n for n in self.root.children.values() if n.spilled is None), key=lambda n: n.weight, default=None)
         if top is None:
             return
-        out = tempfile.TemporaryFile()
-        for text, owner, count in self._walk(top, b"", []):
-            pickle.dump((text, owner, count), out)
+        out, below = tempfile.TemporaryFile(), []
+        for row in self._walk(top, b"", below):
+            pickle.dump(row, out)
+        # An edge that was split after its spill lies below: its rows move to the new file.
+        for node, before in below:
+            for text, owner, count in self._spilled_rows(node):
+                pickle.dump((before + text, owner, count), out)
         self.held -= top.weight
         top.children, top.owner, top.count, top.weight, top.spilled = {}, None, 0, 0, out
 
+    @staticmethod
+    def _spilled_rows(node: Node) -> Iterator[tuple]:
+        """Rows of a spilled node's file, their texts after the node's edge; the file is used up."""
+        with node.spilled as rows:
+            rows.seek(0)
+            while True:
+                try:
+                    row = pickle.load(rows)
+                except EOFError:
+                    return
+                yield row
+
     def _walk(self, top: Node, prefix: bytes, spilled: list) -> Iterator[tuple]:
         """Terminals below ``top``, their texts after ``prefix``; spilled nodes are put aside."""
         todo = [(top, prefix)]
@@ -117,13 +133,8 @@ class PatriciaTrie:
         self.root = Node(b"")
         for node, before in spilled:
             below = PatriciaTrie(self.better, self.limit)
-            with node.spilled as rows:
-                rows.seek(0)
-                while True:
-                    try:
-                        below.insert(*pickle.load(rows))
-                    except EOFError:
-                        break
+            for row in self._spilled_rows(node):
+                below.insert(*row)
             for text, owner, count in below.terminals():
                 yield before + text, owner, count
 
@@ -189,4 +200,7 @@ def exact_duplicates(
     marked = docs.drop("keep_id", "group_size", "kept").withColumn(
         "text_sha256", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     )
-    return marked.join(owners, "text_sha256").withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id")))
+    # Every text has an owner; were one missing, its rows must not vanish in the join.
+    lost = F.raise_error(F.lit("a text has no owner")).cast("boolean")
+    kept = F.when(F.col("group_size").isNull(), lost).otherwise(F.col(key).eqNullSafe(F.col("keep_id")))
+    return marked.join(owners, "text_sha256", "left").withColumn("kept", kept)
