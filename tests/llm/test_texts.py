@@ -321,6 +321,17 @@ def test_special_strings_are_text():
     assert 50256 not in encode("a <|endoftext|> b")
 
 
+def test_packing_has_the_ids_of_added_tokens(spark):
+    mark = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", mark, mark + mark, f"x{mark}", f"{mark} y", f"  {mark}\n\n{mark}  z", "<|endoftext| >", "a  b", ""]
+    unmodified = Tokenizer.from_file(registry.tokenizer_path())
+    want = {i: [*unmodified.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = bfd_packing.pack(documents(spark, texts), registry.tokenizer_path(), 64).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
+    assert all(r.doc_tokens == r.length == len(want[r.doc_id]) for r in got)
+
+
 # --- near duplicates -----------------------------------------------------------------
 
 def near_corpus():

@@ -9,7 +9,9 @@ placed once and emitted at once: a task holds only the room of its open windows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _encodings: dict[str, object] = {}
+_markers: dict[str, tuple[re.Pattern | None, dict[str, int]]] = {}
 
 PIECE = "{id} {type}, start long, length long, doc_tokens long, ids binary"
 PLACED = PIECE + ", sequence_id long, offset long"
 
 
 def byte_pair_encoder(path: str):
-    """The ids of ``tokenizers`` for a byte-level BPE file, by the same vocabulary as ranks.
+    """The ids of ``tokenizers`` for text between added tokens, by the same vocabulary as ranks.
 
-    ``path`` names the JSON file; the ranks lie beside it.  Strings of special tokens in
-    a text are ordinary text.
+    ``path`` names the JSON file of a byte-level BPE; the ranks lie beside it.  Strings of
+    special tokens are ordinary text here; ``text_encoder`` gives them their ids.
     """
     import public_tokenizers
     import tiktoken
@@ -41,6 +44,36 @@ def byte_pair_encoder(path: str):
     return _encodings[path].encode_ordinary
 
 
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern that finds the added tokens of a JSON file, the longest first, and their ids."""
+    if path not in _markers:
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)["added_tokens"]
+        odd = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        if odd:
+            raise ValueError(f"added tokens that take more than their own characters: {odd}")
+        ids = {t["content"]: t["id"] for t in found}
+        longest_first = sorted(ids, key=len, reverse=True)
+        _markers[path] = re.compile("|".join(map(re.escape, longest_first))) if ids else None, ids
+    return _markers[path]
+
+
+def text_encoder(path: str) -> Callable[[str], list[int]]:
+    """The ids of ``tokenizers`` without special tokens of its own: added tokens that stand in the
+    text have their ids, what lies between is encoded piece by piece."""
+    ordinary, (marker, added) = byte_pair_encoder(path), added_tokens(path)
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for match in marker.finditer(text) if marker else ():
+            ids += ordinary(text[at : match.start()])
+            ids.append(added[match[0]])
+            at = match.end()
+        return ids + ordinary(text[at:]) if at else ordinary(text)
+
+    return encode
+
+
 class RoomTree:
     """Open windows by remaining room: a segment tree whose leaves are the rooms 0 to ``most``.
 
@@ -88,7 +121,7 @@ def cut_pieces(
     little-endian unsigned 32-bit numbers.  A null text is empty: its piece is the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_pair_encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
