@@ -253,6 +253,42 @@ def test_what_is_not_valid_stays():
         assert feistel.replaced(f"a {value} b", feistel.Pseudonyms(b"key")) == (f"a {value} b", 0)
 
 
+BESIDE = [
+    ("4111111111111111", "card", ["{} 12/25", "2 {}", "{} 123", "12 34 {}", "{}-5", "{} 5500000000000004", "x {} 7 8"]),
+    ("4111-1111-1111-1111", "card", ["{} 123", "{}-123", "7-{}", "no 2 {} 99", "{}, 123-45-6789"]),
+    ("4111 1111 1111 1111", "card", ["{} 123", "{} 12 25", "3 {}", "20 {} 5"]),
+    ("BE68 5390 0754 7034", "iban", ["{} 250 EUR", "{} BIC GKCC", "IBAN {} 12", "AB12 {} 1234 5678", "{} EUR"]),
+    ("DE89370400440532013000", "iban", ["{} COBADEFF", "{} 1000", "XX99 {}"]),
+    ("456-555-2186", "phone", ["{} 1234", "{} 12345", "12 {}", "call 1-{} 77"]),
+    ("456 555 2186", "phone", ["{} 12", "12 {}", "{} x 1234"]),
+    ("+1 456 555 2186", "phone", ["{} 12", "12 {}"]),
+    ("3/14/2021", "date", ["{} 12", "on {} 4111", "{}, 5"]),
+    ("2021-3-5", "date", ["{} 10:30", "7 {}"]),
+    ("14/3/2021", "date", ["{} 1"]),
+    ("5.11.1999", "date", ["{}. 12"]),
+]
+
+
+def test_what_stands_beside_a_value_does_not_hide_it():
+    forth, back = feistel.Pseudonyms(b"key"), feistel.Pseudonyms(b"key", inverse=True)
+    for value, kind, contexts in BESIDE:
+        fresh = getattr(forth, kind)(value)
+        assert fresh != value and re.sub(r"\d", "9", fresh) == re.sub(r"\d", "9", value)
+        for context in contexts:
+            got, n = feistel.replaced(context.format(value), forth)
+            assert n >= 1 and context.format(fresh)[: len(got)] == got or n > 1 and fresh in got, context
+            assert feistel.replaced(got, back) == (context.format(value), n), context
+
+
+def test_unpadded_dates_keep_their_width():
+    forth, back = feistel.Pseudonyms(b"key"), feistel.Pseudonyms(b"key", inverse=True)
+    for value in ("1/2/2021", "1/22/2021", "22/1/2021", "11/2/2021", "2021-1-2", "2021-11-2", "2021.1.22", "9.9.1999", "3/04/2021"):
+        got = forth.date(value)
+        assert re.sub(r"\d", "9", got) == re.sub(r"\d", "9", value) and back.date(got) == value
+    for value in ("2/30/2021", "2021-13-1", "0/1/2021", "31/31/2021"):
+        assert feistel.replaced(value, forth) == (value, 0)
+
+
 def test_equal_values_stay_linked(spark, odd):
     docs = documents(spark, ["call +1 (456) 555-2186 now", "or +1 (456) 555-2186", None, "", LONG + " 10.1.2.3"])
     got = feistel.pseudonymise(docs, b"k").orderBy("doc_id").collect()

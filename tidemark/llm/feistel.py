@@ -9,6 +9,7 @@ in every document and every run with the same key; with the key it can be undone
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -178,10 +179,11 @@ class Pseudonyms:
             return None
         # Day-first dates with slashes are told from month-first ones by a day over 12 and keep one.
         late = order == "dmy" and mark != "."
-        days = [d for d in _all_days() if d.day > 12] if late else _all_days()
-        place = days.index(day) if late else (day - FIRST_DAY).days
-        day = days[self._permute(place, len(days), "late" if late else "date")]
-        y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
+        wide = {part: len(value) for part, value in zip(order, (a, b, c))}
+        days, places = _days_written(late, wide["m"], wide["d"])
+        tweak = ("late" if late else "date") + ("" if wide["m"] == wide["d"] == 2 else f"{wide['m']}{wide['d']}")
+        day = days[self._permute(places[day], len(days), tweak)]
+        y, m, d = f"{day.year:04d}", f"{day.month:0{wide['m']}d}", f"{day.day:0{wide['d']}d}"
         return mark.join({"y": y, "m": m, "d": d}[part] for part in order)
 
     def email(self, text: str) -> str | None:
@@ -211,43 +213,128 @@ class Pseudonyms:
         return "".join(reversed(out))
 
 
-_days: list[datetime.date] = []
-
-
-def _all_days() -> list[datetime.date]:
-    if not _days:
-        _days.extend(FIRST_DAY + datetime.timedelta(n) for n in range((LAST_DAY - FIRST_DAY).days + 1))
-    return _days
-
-
-# Kinds in order of precedence; the group's name is the method that validates and replaces.
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)[\"']?\s*[=:]\s*[\"']?)[0-9a-fA-F]{16,}(?![0-9A-Za-z]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>(?<![\d./-])(?:\d{4}(?P<m1>[-./])\d{2}(?P=m1)\d{2}|\d{2}(?P<m2>[./-])\d{2}(?P=m2)\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<social>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))"
-    r"|(?P<phone>(?<![\w+(])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
-    r"|(?<![\w+])(?:\+1[ .-]?)?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w+])\+\d(?:[ .-]?(?:\(\d{1,4}\)|\d)){7,14}(?!\d))"
-)
+@functools.cache
+def _days_written(late: bool, month: int, day: int) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """The days that can be written with so many digits of month and day, and their places."""
+    every = (FIRST_DAY + datetime.timedelta(n) for n in range((LAST_DAY - FIRST_DAY).days + 1))
+    days = [d for d in every if d.month < 10**month and d.day < 10**day and (not late or d.day > 12)]
+    return days, {d: place for place, d in enumerate(days)}
+
+
+# Kinds in order of precedence; the name is that of the method that validates and replaces.  Values
+# of written-out length end where their pattern ends; cards and IBANs are cut from what it matches.
+KINDS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)[\"']?\s*[=:]\s*[\"']?)[0-9a-fA-F]{16,}(?![0-9A-Za-z])",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
+    "date": r"(?<![\d./-])(?:\d{4}(?P<m1>[-./])\d{1,2}(?P=m1)\d{1,2}|\d{1,2}(?P<m2>[./-])\d{1,2}(?P=m2)\d{4})(?![\d/-]|\.\d)",
+    "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
+    "card": r"(?<![\d+])[2-6](?:[ -]?\d){12,18}",
+    "phone": r"(?<![\w+(])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w+])(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?<![\w+])\+\d(?:[ .-]?(?:\(\d{1,4}\)|\d)){7,14}(?!\d)",
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
+_ALONE = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
+_AFTER = {kind: list(KINDS)[place:] for place, kind in enumerate(KINDS)}
 _MAYBE = re.compile(r"[0-9]|@[A-Za-z0-9-]+\.")
 
+# How cards are written: in one run, or in these groups with one mark between them.
+CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+IBAN_LENGTHS = {
+    country: int(length)
+    for country, length in re.findall(
+        r"([A-Z]{2})(\d\d)",
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29"
+        " ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20"
+        " LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29"
+        " PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+        " YE30",
+    )
+}
+
+
+@functools.lru_cache(64)
+def iban_cuts(found: str) -> tuple[list[int], list[int]]:
+    """Where an IBAN at the start of ``found`` may end, before a character that isn't part of a word:
+    at its country's length; of an unknown country, anywhere, the longest first."""
+    country, length, cuts = IBAN_LENGTHS.get(found[:2]), 0, []
+    for place, c in enumerate(found[:-1]):
+        length += c != " "
+        if c != " " and length >= 15 and not (found[place + 1].isalnum() or found[place + 1] == "_"):
+            if country in (None, length):
+                cuts.append(place + 1)
+    return (cuts, []) if country else ([], cuts[::-1])
+
+
+@functools.lru_cache(64)
+def card_cuts(found: str) -> tuple[list[int], list[int]]:
+    """Where a card at the start of ``found`` may end: after the usual groups; after other whole runs.
+
+    Single digits in a row are rather a list of numbers: of those only the longest cut is tried.
+    """
+    runs = [(m.start(), m.end()) for m in re.finditer(r"\d+", found[:-1])]
+    usual, other, digits = [], [], 0
+    for number, (_, end) in enumerate(runs):
+        digits += end - runs[number][0]
+        if 13 <= digits <= 19 and found[end] not in DIGITS:
+            marks = {found[e] for _, e in runs[:number]}
+            one_way = number == 0 or len(marks) == 1 and [e - s for s, e in runs[: number + 1]] in CARD_GROUPS
+            (usual if one_way else other).append(end)
+    if any(end - start == 1 for start, end in runs):
+        other = other[-1:]
+    return usual, other[::-1]
+
+
+CUTS = {"iban": iban_cuts, "card": card_cuts}
+
+
+def _found(text: str, at: int, kind: str, names: Pseudonyms, usual: bool = True) -> tuple[int, str] | None:
+    """End and pseudonym of the value of a kind that starts at ``at``; ``usual`` picks the ways to cut it."""
+    match = _ALONE[kind].match(text, at)
+    if match is None:
+        return None
+    if kind in CUTS:
+        cuts = CUTS[kind](f"{text[at : match.end() + 1]} ")[0 if usual else 1]
+    else:
+        cuts = [match.end() - at]
+    for cut in cuts:
+        value = getattr(names, kind)(text[at : at + cut])
+        if value is not None:
+            return at + cut, value
+    return None
+
+
+def _unusual(text: str, at: int, names: Pseudonyms) -> tuple[int, str] | None:
+    """An IBAN of an unknown country or a card in other groups, unless a value of usual form starts
+    inside: such a match is more likely to be chance."""
+    for kind in CUTS:
+        found = _found(text, at, kind, names, usual=False)
+        if found:
+            starts = (at + m.end() for m in re.finditer(r"[ -](?=[A-Z0-9])", text[at : found[0]]))
+            if not any(_found(text, start, other, names) for start in starts for other in _AFTER["iban"]):
+                return found
+    return None
+
 
 def replaced(text: str, names: Pseudonyms) -> tuple[str, int]:
-    """``text`` with its personal values replaced, and how many there were."""
-    found = 0
-
-    def swap(match: re.Match) -> str:
-        nonlocal found
-        value = getattr(names, match.lastgroup if match.lastgroup not in ("m1", "m2") else "date")(match[0])
-        if value is None:
-            return match[0]
-        found += 1
-        return value
-
-    return PATTERN.sub(swap, text), found
+    """``text`` with its personal values replaced, and how many there were.
+
+    Where a value doesn't validate the next kinds are tried at the same place, then all
+    from the next character on: what stands beside a value doesn't hide it.
+    """
+    out, done, at = [], 0, 0
+    while (match := PATTERN.search(text, at)) is not None:
+        at = match.start()
+        tries = (_found(text, at, kind, names) for kind in _AFTER[match.lastgroup])
+        found = next(filter(None, tries), None) or _unusual(text, at, names)
+        if found is None:
+            at += 1
+            continue
+        out += text[done:at], found[1]
+        done = at = found[0]
+    return "".join((*out, text[done:])), len(out) // 2
 
 
 def pseudonymise(
