@@ -498,6 +498,24 @@ def test_encoding_and_round_trip(spark, odd, real, pieces):
     assert lattice.encode(odd.limit(0), pieces, F.lit(1)).count() == 0
 
 
+def test_long_units_are_encoded_in_linear_time(spark, pieces):
+    draw = random.Random(6)
+    texts = ["a" * 1_000_000, "".join(draw.choices("ACGT", k=20_000)), "=-" * 10_000, " " * 20_000, "aa--" * 64, "z" * 257]
+    got = lattice.encode(documents(spark, texts), pieces, F.lit(0), verify=True).orderBy("doc_id").collect()
+    assert all(r.round_trip for r in got)
+    for r, text in list(zip(got, texts))[1:]:  # the plain version is too slow for the first
+        assert np.frombuffer(r.ids, "<u4").tolist() == plain_viterbi(text, pieces)
+
+
+def test_both_ways_to_fold_a_unit_agree(spark, pieces, monkeypatch):
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("aabe=-ntz本é ", k=draw.randint(1, 250))) for _ in range(60)]
+    docs = documents(spark, texts)
+    rowed = {r.doc_id: r.ids for r in lattice.encode(docs, pieces, F.lit(0)).collect()}
+    monkeypatch.setattr(lattice, "MOST_ROWED", 2)
+    assert {r.doc_id: r.ids for r in lattice.encode(docs, pieces, F.lit(0)).collect()} == rowed
+
+
 def test_words_as_the_library_segments_them(spark, pieces):
     model = sentencepiece.SentencePieceProcessor(model_proto=unigram_model(public_tokenizers.path("piece_bpe_32k.model")))
     score = {number: s for _, number, s in pieces.pieces}

@@ -3,7 +3,9 @@
 A text is cut into units wherever two characters meet that no piece has side by side, so no
 piece spans a cut; each different unit is encoded once.  All its substrings of bounded length are exploded and joined with the piece table;
 the matches are the edges of the unit's lattice, and a fold over them in order of their
-ends keeps for every place the best path there (Viterbi).  Unit encodings then go back to
+ends keeps for every place the best path there (Viterbi).  Units over ``MOST_ROWED``
+characters (rules, padding, letters of DNA) are folded place by place by the task that
+holds them, in time that grows with their length.  Unit encodings then go back to
 the blocks of documents that hold the unit, and each document's ids are put together from
 its own block's dictionary.
 
@@ -29,6 +31,7 @@ from tidemark.llm.words import text_blocks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+MOST_ROWED = 256  # characters; the rows and arrays of a unit's lattice grow with the square of its length
 
 
 class Pieces(NamedTuple):
@@ -198,10 +201,46 @@ def best_paths(edges: DataFrame) -> DataFrame:
     return scored.select("unit", F.reverse(walk["path"]).alias("path"))
 
 
+def long_unit_ids(unit: str, table: dict[str, tuple[int, float]], pieces: Pieces) -> bytes:
+    """The ids that the relational lattice gives ``unit``, by a fold over its places.
+
+    Sums are added up in the same order, and ties go to the longest edge, so that both ways agree.
+    """
+    length, unknown = len(unit), pieces.unknown_score
+    best, back = [0.0] * (length + 1), np.zeros(length + 1, np.int32)
+    number = np.full(length + 1, -1, np.int32)
+    for end in range(1, length + 1):
+        top = None
+        for start in range(max(0, end - pieces.longest), end):
+            found = table.get(unit[start:end])
+            if found is None:
+                if end - start > 1:
+                    continue
+                found = -1, unknown
+            score = best[start] + found[1]
+            if top is None or score > top:
+                top, back[end], number[end] = score, start, found[0]
+        best[end] = top
+    ids: list[int] = []
+    at = length
+    while at:
+        start = int(back[at])
+        if number[at] < 0:
+            ids += (pieces.bytes[b] for b in reversed(unit[start:at].encode()))
+        else:
+            ids.append(int(number[at]))
+        at = start
+    return np.array(ids[::-1], dtype=">u4").tobytes()
+
+
 def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units`` with ``ids``, big-endian 32-bit numbers; unknown characters have those of their bytes."""
+    """``units`` with ``ids``, big-endian 32-bit numbers; unknown characters have those of their bytes.
+
+    Units over ``MOST_ROWED`` characters have null, for ``long_unit_ids``.
+    """
     # Both uses of the units need their blocks, so they are one and the same shuffle.
-    paths = best_paths(lattice_edges(units.where(F.size("blocks") > 0).select("unit"), pieces))
+    rowed = units.where((F.size("blocks") > 0) & (F.char_length("unit") <= MOST_ROWED)).select("unit")
+    paths = best_paths(lattice_edges(rowed, pieces))
     numbers = F.array(*map(F.lit, pieces.bytes))
 
     def as_bytes(edge: Column) -> Column:
@@ -213,7 +252,7 @@ def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     ids = F.flatten(F.transform("path", lambda e: F.when(e.id < 0, as_bytes(e)).otherwise(F.array(e.id))))
     packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
-    return units.join(paths.select("unit", packed.alias("ids")), "unit")
+    return units.join(paths.select("unit", packed.alias("ids")), "unit", "left")
 
 
 def packed_rows(rows: pa.RecordBatch) -> bytes:
@@ -286,7 +325,15 @@ def encode(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block its units of a batch, packed."""
+        table: dict[str, tuple[int, float]] = {}
         for batch in batches:
+            if batch.column(2).null_count:
+                table = table or {piece: (number, score) for piece, number, score in pieces.pieces}
+                ids = [
+                    value.as_py() if value.is_valid else long_unit_ids(unit.as_py(), table, pieces)
+                    for unit, value in zip(batch.column(1), batch.column(2))
+                ]
+                batch = batch.set_column(2, "ids", pa.array(ids, pa.binary()))
             lists = batch.column(0)
             size = pc.list_value_length(lists).to_numpy()
             block, unit = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), size)
