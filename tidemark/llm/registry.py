@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,13 @@ from tidemark.llm import (
     feistel,
     fm_toxicity,
     lattice,
+    merkle_manifest,
     mincut_html,
     ngram_ratio,
+    orc_tokens,
+    pivotal_grams,
     trie_dedup,
+    twins,
     url_model,
     warc_zstd,
 )
@@ -112,6 +117,35 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    text = F.when(tampered, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    current = merkle_manifest.leaf_hash(fields, {"text": text})
+    proven = merkle_manifest.manifest(docs, fields, "lang", "doc_id", {"current": current})
+    return proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle_manifest.siblings_digest(F.col("siblings")).alias("proof_sha256"),
+        merkle_manifest.fold(F.col("current"), F.col("siblings")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{work_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    return orc_tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_grams.spelling_variants(read_table(spark, sf_dir, "documents"), one_in=97)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -126,6 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_sentencepiece,
             op9_packing,
             op10_ngram_jaccard,
+            op11_merkle_manifest,
+            op12_token_files,
+            op13_spelling_variants,
         )
     }
 
@@ -140,4 +177,8 @@ OP2_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op11_merkle_manifest": twins.OP11_SQL,
+        "op13_spelling_variants": twins.OP13_SQL,
+    }
