@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,30 +32,95 @@ MOST_KEPT = 1 << 19  # units that a worker remembers
 TEXTS = 256  # encoded at once
 CRC_POLYNOMIAL = 0xEDB88320
 
-_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
+# The rules of a tokenizer file whose texts can be cut at white space.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# Composed letters and marks after them: by these rules one piece each, whatever stands beside them.
+WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+_encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
 # --- encoding ------------------------------------------------------------------------
 
-def _stands_alone(tokenizer, path: str) -> bool:
-    """Whether white space parts a text into units that can be encoded one by one."""
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
+
+def cut_at_spaces(path: str) -> bool:
+    """Whether the file drops white space and looks at nothing beyond it.
+
+    By these rules no normal form, no split and no added token reaches over a space.
+    """
     with open(path, encoding="utf-8") as file:
-        added = json.load(file)["added_tokens"]
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added):
-        return False
-    probe = ["Some", "words,", "5", "'s", "́e", "İ.", "x"]
-    apart = [i for unit in probe for i in tokenizer.encode(unit, add_special_tokens=False).ids]
-    return all(
-        tokenizer.encode(space + space.join(probe) + space, add_special_tokens=False).ids == apart
-        for space in (" ", "\n", "\t", "\r\n", "\x0b\x0c", "   ")
+        rules = json.load(file)
+    splits = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and rules["model"]["type"] == "BPE"
+        and not rules["model"]["dropout"]
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+        and all(t["content"].split() == [t["content"]] for t in rules["added_tokens"])
+        and not any(WORD_AND_MARKS.fullmatch(t["content"]) for t in rules["added_tokens"])
     )
 
 
-def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """The ids of texts by the tokenizer file, as little-endian unsigned 32-bit numbers.
+class Units(dict):
+    """Ids of units between white space, found when first asked for.
 
-    Where the tokenizer drops white space and looks at nothing beyond it, a text is cut
-    there and each different unit is encoded once; the worker keeps units between tasks.
+    A unit that is a word of Latin letters and marks is split here and its two pieces go to
+    the tokenizer's model; all others go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        # Byte-level models write bytes as printable characters.
+        self.characters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+    def __missing__(self, unit: bytes) -> bytes:
+        text = unit.decode()
+        simple = WORD_AND_MARKS.fullmatch(text)
+        if simple:
+            ids = self.piece(simple[1].lower()) + (self.piece(simple[2]) if simple[2] else b"")
+        else:
+            ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(unit) <= LONGEST_KEPT:
+            self[unit] = ids
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            written = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
+            ids = _packed([token.id for token in self.model.tokenize(written)])
+            if len(text) <= LONGEST_KEPT:
+                self.pieces[text] = ids
+        return ids
+
+    def tidy(self) -> None:
+        """Forget what is remembered, once it is too much."""
+        if len(self) > MOST_KEPT:
+            self.clear()
+        if len(self.pieces) > MOST_KEPT:
+            self.pieces.clear()
+
+
+def text_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
+    """The ids of UTF-8 texts by the tokenizer file, as little-endian unsigned 32-bit numbers.
+
+    Where the file's rules allow it, a text is cut at white space and each different unit is
+    encoded once; the worker keeps units between tasks.
     """
     if path in _encoders:
         return _encoders[path]
@@ -63,25 +131,17 @@ def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def whole(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    known: dict[bytes, bytes] = {}
-
-    def by_units(texts: list[str]) -> list[bytes]:
-        if len(known) > MOST_KEPT:
-            known.clear()
-        cut = [text.encode().split() for text in texts]
-        new = list(set().union(*cut).difference(known))
-        ids = dict(zip(new, whole([unit.decode() for unit in new])))
-        long = {unit: ids.pop(unit) for unit in new if len(unit) > LONGEST_KEPT}
-        known.update(ids)
-        if not long:
-            return [b"".join(map(known.__getitem__, units)) for units in cut]
-        return [b"".join([long[u] if u in long else known[u] for u in units]) for units in cut]
-
-    _encoders[path] = by_units if _stands_alone(tokenizer, path) else whole
+    def whole(texts: list[bytes]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast([text.decode() for text in texts], add_special_tokens=False)
+        return [_packed(e.ids) for e in found]
+
+    units = Units(tokenizer)
+
+    def by_units(texts: list[bytes]) -> list[bytes]:
+        units.tidy()
+        return [b"".join(map(units.__getitem__, text.split())) for text in texts]
+
+    _encoders[path] = by_units if cut_at_spaces(path) else whole
     return _encoders[path]
 
 
@@ -99,11 +159,11 @@ def encode_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(tokenizer_path)
         file, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = _packed([end_id])
         for batch in batches:
             for first in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(first, TEXTS)
-                encoded = encode([value or "" for value in part.column(1).to_pylist()])
+                encoded = encode([value or b"" for value in part.column(1).to_pylist()])
                 rows, starts, totals, places, sizes = [], [], [], [], []
                 for row, ids in enumerate(encoded):
                     total = len(ids) // 4 + 1
@@ -135,7 +195,7 @@ def encode_pieces(
     order = [F.col(key), F.xxhash64(text), F.col("_own")]
     rows = docs.select(key, text).withColumn("_own", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.select(key, text).mapInArrow(run, schema)
+    return dealt.select(key, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 # --- files ---------------------------------------------------------------------------
@@ -168,9 +228,9 @@ def file_starts(pieces: DataFrame) -> DataFrame:
     return sums.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
 
 
-def placed(pieces: DataFrame, starts: DataFrame) -> DataFrame:
-    """Pieces with ``start``, the ids of all documents before theirs."""
-    known = pieces.join(starts, "file", "left").withColumn("start", F.col("before") + F.col("file_start"))
+def placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows with ``start``, the ids of all documents before theirs."""
+    known = rows.join(starts, "file", "left").withColumn("start", F.col("before") + F.col("file_start"))
     return known.drop("file", "file_start", "before")
 
 
@@ -207,7 +267,7 @@ def moved(crc: int, n_bytes: int) -> int:
 
 
 def digests(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document: key, ``start``, ``n_tokens`` and ``ids_crc32`` of all its ids.
+    """One row per document: key, ``file``, ``file_start``, ``n_tokens`` and ``ids_crc32`` of all its ids.
 
     The checksum of a whole is the exclusive or of its pieces' checksums, each moved by the
     bytes that follow; so pieces are summed up in any order and none are gathered.
@@ -215,38 +275,36 @@ def digests(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(4)
-            offsets = ids.offsets.to_numpy()
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            totals, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids = batch.column(5)
+            offsets = 4 * ids.offsets.to_numpy().astype(np.int64)
+            values = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            totals, places = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             sums, sizes = [], []
-            for row in range(batch.num_rows):
-                size = int(offsets[row + 1] - offsets[row])
-                crc = zlib.crc32(memoryview(values)[4 * offsets[row] : 4 * offsets[row + 1]])
-                rest = totals[row] - places[row] - size
+            for at, end, total, place in zip(offsets[:-1].tolist(), offsets[1:].tolist(), totals, places):
+                crc, size = zlib.crc32(values[at:end]), (end - at) // 4
+                rest = total - place - size
                 sums.append(moved(crc, 4 * rest) if rest else crc)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())],
-                names=[key, "start", "n_tokens", "crc", "size"],
+                [*batch.columns[:4], pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())],
+                names=[key, "file", "file_start", "n_tokens", "crc", "size"],
             )
 
     kind = pieces.schema[key].dataType.simpleString()
-    parts = pieces.select(key, "start", "n_tokens", "piece_start", "ids").mapInArrow(
-        run, f"{key} {kind}, start long, n_tokens long, crc long, size long"
-    )
-    whole = parts.groupBy(key, "start", "n_tokens").agg(
-        F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("_size")
+    place = [key, "file", "file_start", "n_tokens"]
+    parts = pieces.select(*place, "piece_start", "ids").mapInArrow(
+        run, f"{key} {kind}, file long, file_start long, n_tokens long, crc long, size long"
     )
+    whole = parts.groupBy(*place).agg(F.bit_xor("crc").alias("crc"), F.sum("size").alias("size"))
     lost = F.raise_error(F.lit("pieces of a document are missing in the files")).cast("long")
-    crc = F.when(F.col("_size") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(lost)
-    return whole.select(key, "start", "n_tokens", crc.alias("ids_crc32"))
+    return whole.select(*place, F.when(F.col("size") == F.col("n_tokens"), F.col("crc")).otherwise(lost).alias("ids_crc32"))
 
 
 def round_trip(
     docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """Write all of ``docs`` to ``folder`` and return each document's digest from the files.
+    """Write all of ``docs`` to ``folder``; from the files, per document: key, ``start`` (ids of
+    all documents before it), ``n_tokens`` and ``ids_crc32``.
 
     Null and empty texts have the end id alone; a text of any length is one document in
     pieces; null keys come first and stay null; repeated rows are written once each; an
@@ -254,4 +312,5 @@ def round_trip(
     """
     write_files(encode_pieces(docs, tokenizer_path, end_id, text, key), folder, key)
     pieces = read_files(docs.sparkSession, folder, docs.schema[key].dataType.simpleString(), key)
-    return digests(placed(pieces, file_starts(pieces)), key)
+    found = placed(digests(pieces, key), file_starts(pieces))
+    return found.select(key, "start", "n_tokens", "ids_crc32")
