@@ -13,7 +13,7 @@ def crc32(data: str) -> str:
 
 
 def utf8_bytes(text: str) -> str:
-    """SQL for the UTF-8 bytes of a text of code points up to U+07FF."""
+    """SQL for the UTF-8 bytes of a text, not empty, of code points up to U+07FF."""
     return f"""flatten(list_transform(string_split({text}, ''), lambda x: CASE
         WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
         ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END))"""
