@@ -15,12 +15,14 @@ sys.path.insert(0, ROOT)
 
 from checks import oracle, trained
 from tidemark.functions.durable import durable, work_folder
+from tidemark.functions.dates import month_label, month_start
 from tidemark.functions.rounding import round_even
+from tidemark.functions.sketches import daily_sketches, merged_quantiles
 from tidemark.models import churn, lifetime, metrics, scaling, segments, split
 from tidemark.models.store import load_model, save_model
-from tidemark.operators import analytics, decisions, features, profiling, quality, views
+from tidemark.operators import analytics, audience, decisions, features, history, profiling, quality, views
 from tidemark.plans.pipeline import run_pipeline
-from tidemark.sources import star
+from tidemark.sources import star, versioned
 from tidemark.sources.tables import Tables
 
 try:
@@ -279,9 +281,8 @@ def _rounded_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.withColumn("r", round_even(F.col("r"), 6) + F.lit(0.0))
 
 
-def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corrections(base: DataFrame) -> DataFrame:
     """Urgent orders corrected twice (the second correction stays), a copy of the high ones added."""
-    base = _tables(spark, sf_dir).transactions
     urgent = base.where(F.col("product_category") == "1-URGENT")
     raised = [
         urgent.withColumns({"amount": (F.col("amount") + step).cast("decimal(12,2)"), "seq": F.lit(step)})
@@ -290,10 +291,35 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = base.where(F.col("product_category") == "2-HIGH").withColumns(
         {"transaction_id": -1 - F.col("transaction_id"), "seq": F.lit(1)}
     )
-    batch = profiling.union_all([*raised, added])
+    return profiling.union_all([*raised, added])
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _tables(spark, sf_dir).transactions
+    batch = _corrections(base)
     return _with_double_money(quality.upsert_by_key(base, batch, "transaction_id", "seq"), "amount")
 
 
+def _upsert_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows out of a table on disk, in its second version."""
+    base = _tables(spark, sf_dir).transactions
+    path = _scratch(spark, "versioned")
+    versioned.create(base, path, "transaction_id")
+    versioned.upsert(spark, path, _corrections(base), "seq")
+    return _with_double_money(versioned.read_version(spark, path), "amount")
+
+
+def _stored_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return durable(audience.daily_bitmaps(_tables(spark, sf_dir).events))
+
+
+def _amount_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of stored daily sketches, merged by month."""
+    daily = durable(daily_sketches(_tables(spark, sf_dir).transactions, ["transaction_date"], "amount"))
+    month = month_label(month_start(F.col("transaction_date")))
+    return merged_quantiles(daily, {"month": month}, [0.25, 0.5, 0.75, 0.95])
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained.report_agrees(run_pipeline(_tables(spark, sf_dir), _scratch(spark, "pipeline"), as_of=star.AS_OF))
 
@@ -345,6 +371,9 @@ def queries() -> dict[str, Query]:
         "conversion_funnel": on_tables(analytics.conversion_funnel),
         "daily_active_users": on_tables(analytics.daily_active_users),
         "daily_active_users_clicks": _clicks_dau,
+        "rolling_active_users": lambda spark, d: audience.rolling_users(_stored_bitmaps(spark, d)),
+        "monthly_active_users": lambda spark, d: audience.monthly_users(_stored_bitmaps(spark, d)),
+        "monthly_amount_quantiles": _amount_quantiles,
         "engagement_by_churn_status": on_tables(analytics.engagement_by_churn_status),
         "churn_by_segment": on_tables(analytics.churn_by_segment),
         # features
@@ -355,6 +384,7 @@ def queries() -> dict[str, Query]:
         ),
         "event_features_asof": on_tables(lambda t: features.event_features_asof(t.events, observed(t))),
         "feature_matrix": on_tables(lambda t: features.feature_matrix(t, star.AS_OF)),
+        "feature_history": on_tables(lambda t: history.feature_history(t, as_of=star.AS_OF)),
         "plan_encoded": _plan_encoded,
         "avg_events_per_week": on_features(lambda f: f.select("customer_id", "avg_events_per_week")),
         "support_ticket_ratio": on_features(lambda f: f.select("customer_id", "support_ticket_ratio")),
@@ -435,6 +465,7 @@ def queries() -> dict[str, Query]:
         # data management
         "integrity_checks": on_tables(quality.integrity_checks),
         "upsert_by_key": _upsert,
+        "upsert_versioned": _upsert_versioned,
         "run_pipeline": _pipeline,
     }
 

@@ -270,6 +270,52 @@ cte(
         FROM obs LEFT JOIN f_txn USING (customer_id) LEFT JOIN f_sub USING (customer_id)
         LEFT JOIN f_evt USING (customer_id)""",
 )
+cte(
+    "h_dates",
+    ["people"],
+    f"""SELECT p.*, CAST(last_day(m) AS DATE) AS obs_date
+        FROM people p, generate_series(date_trunc('month', signup_date), date_trunc('month', {AS_OF}), INTERVAL 1 MONTH) AS g(m)
+        WHERE last_day(m) <= {AS_OF}""",
+)
+cte(
+    "h_txn",
+    ["h_dates", "txns"],
+    """SELECT customer_id, obs_date, sum(amount_c) AS spend_c, count(*) AS n
+       FROM txns JOIN h_dates USING (customer_id) WHERE transaction_date <= obs_date GROUP BY ALL""",
+)
+cte(
+    "h_sub",
+    ["h_dates", "subs"],
+    """SELECT customer_id, obs_date, plan, mrr_c FROM (
+         SELECT customer_id, obs_date, plan, mrr_c,
+           row_number() OVER (PARTITION BY customer_id, obs_date ORDER BY start_date DESC, subscription_id DESC) AS newest
+         FROM subs JOIN h_dates USING (customer_id) WHERE start_date <= obs_date) WHERE newest = 1""",
+)
+cte(
+    "h_evt",
+    ["h_dates", "acts"],
+    """SELECT customer_id, obs_date, count(*) AS total_events,
+          count(*) FILTER (WHERE event_type = 'login') AS login_count,
+          count(*) FILTER (WHERE event_type = 'feature_use') AS feature_use_count,
+          count(*) FILTER (WHERE event_type = 'support_ticket') AS support_ticket_count,
+          count(*) FILTER (WHERE event_type = 'page_view') AS page_view_count,
+          count(*) FILTER (WHERE event_date >= obs_date - 30) AS events_last_30d,
+          count(*) FILTER (WHERE event_date >= obs_date - 7) AS events_last_7d,
+          max(event_date) AS last_event_date
+       FROM acts JOIN h_dates USING (customer_id) WHERE event_date <= obs_date GROUP BY ALL""",
+)
+cte(
+    "h_feats",
+    ["h_dates", "h_txn", "h_sub", "h_evt"],
+    f"""SELECT customer_id, obs_date, CAST(obs_date - signup_date AS BIGINT) AS tenure_days, age, country,
+          acquisition_channel, coalesce({usd('spend_c')}, 0.0::DOUBLE) AS total_spend,
+          coalesce({usd('spend_c')} / n, 0.0::DOUBLE) AS avg_order_value,
+          coalesce(n, 0) AS num_transactions, coalesce(plan, 'free') AS plan,
+          coalesce({usd('mrr_c')}, 0.0::DOUBLE) AS current_mrr, {_FILLED},
+          CAST(coalesce(obs_date - last_event_date, 999) AS BIGINT) AS days_since_last_event, is_churned
+        FROM h_dates LEFT JOIN h_txn USING (customer_id, obs_date) LEFT JOIN h_sub USING (customer_id, obs_date)
+        LEFT JOIN h_evt USING (customer_id, obs_date)""",
+)
 PLAN_CODE = "CAST(CASE plan WHEN 'starter' THEN 1 WHEN 'pro' THEN 2 WHEN 'enterprise' THEN 3 ELSE 0 END AS BIGINT)"
 PER_WEEK = even("total_events / (greatest(tenure_days, 7) / 7.0::DOUBLE)", 2)
 TICKETS = even("support_ticket_count / CAST(greatest(total_events, 1) AS DOUBLE)", 4)
@@ -571,6 +617,31 @@ def oracle_sql() -> dict[str, str]:
     q["daily_active_users_clicks"] = (
         "SELECT CAST(ts AS DATE) AS date, count(DISTINCT user_id) AS dau FROM events GROUP BY CAST(ts AS DATE)"
     )
+    add(
+        "rolling_active_users",
+        ["acts"],
+        """SELECT day AS date, count(DISTINCT customer_id) FILTER (WHERE event_date > day - 7) AS users_7d,
+             count(DISTINCT customer_id) AS users_30d
+           FROM (SELECT CAST(d AS DATE) AS day FROM (SELECT min(event_date) AS a, max(event_date) AS z FROM acts),
+                   generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY) AS g(d))
+           JOIN (SELECT DISTINCT customer_id, event_date FROM acts) ON event_date BETWEEN day - 29 AND day
+           GROUP BY day""",
+    )
+    add(
+        "monthly_active_users",
+        ["acts"],
+        """SELECT strftime(event_date, '%Y-%m') AS month, count(DISTINCT customer_id) AS users
+           FROM acts GROUP BY 1""",
+    )
+    add(
+        "monthly_amount_quantiles",
+        ["txns"],
+        f"""SELECT month, n AS "rows", p, {usd('amount_c')} AS quantile
+            FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY amount_c) AS place,
+                    count(*) OVER (PARTITION BY month) AS n
+                  FROM (SELECT strftime(transaction_date, '%Y-%m') AS month, amount_c FROM txns))
+            JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.95])::DOUBLE AS p) ON place = ceil(round(p * n, 6))""",
+    )
     add("engagement_by_churn_status", ["engagement"], "SELECT * FROM engagement")
     add(
         "churn_by_segment",
@@ -597,6 +668,12 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT * EXCLUDE (plan, country, acquisition_channel), {PLAN_CODE} AS plan_encoded,
               {PER_WEEK} AS avg_events_per_week, {TICKETS} AS support_ticket_ratio, {DUMMIES} FROM feats""",
     )
+    add(
+        "feature_history",
+        ["h_feats"],
+        f"""SELECT * EXCLUDE (plan), {PLAN_CODE} AS plan_encoded, {PER_WEEK} AS avg_events_per_week,
+              {TICKETS} AS support_ticket_ratio FROM h_feats""",
+    )
     add("plan_encoded", ["feats"], f"SELECT customer_id, plan, {PLAN_CODE} AS plan_encoded FROM feats")
     add("avg_events_per_week", ["feats"], f"SELECT customer_id, {PER_WEEK} AS avg_events_per_week FROM feats")
     add("support_ticket_ratio", ["feats"], f"SELECT customer_id, {TICKETS} AS support_ticket_ratio FROM feats")
@@ -929,4 +1006,5 @@ def oracle_sql() -> dict[str, str]:
                   UNION ALL SELECT -1 - transaction_id, customer_id, transaction_date, amount_c, product_category,
                     payment_method FROM txns WHERE product_category = '2-HIGH')""",
     )
+    q["upsert_versioned"] = q["upsert_by_key"]
     return q

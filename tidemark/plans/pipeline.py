@@ -55,8 +55,10 @@ def run_pipeline(
     num_trees: int = 200,
     ltv_rounds: int = 200,
     restarts: int = 10,
+    observation_seed: int = 123,
 ) -> PipelineResult:
-    matrix = _written(features.feature_base(tables, as_of), f"{output}/features")
+    """``seed`` is that of the splits and models, ``observation_seed`` that of the observation dates."""
+    matrix = _written(features.feature_base(tables, as_of, observation_seed), f"{output}/features")
 
     work = f"{output}/work"
     churned = churn.train_churn_model(matrix, num_trees=num_trees, seed=seed, folder=work)
@@ -93,6 +95,7 @@ def main() -> None:
     parser.add_argument("--trees", type=int, default=200)
     parser.add_argument("--ltv-rounds", type=int, default=200)
     parser.add_argument("--restarts", type=int, default=10)
+    parser.add_argument("--observation-seed", type=int, default=123)
     options = parser.parse_args()
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     result = run_pipeline(
@@ -103,6 +106,7 @@ def main() -> None:
         options.trees,
         options.ltv_rounds,
         options.restarts,
+        options.observation_seed,
     )
     result.summary.show(200, truncate=False)
 
