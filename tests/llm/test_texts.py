@@ -53,6 +53,26 @@ def test_words_are_those_of_the_pattern():
     assert found == [(i, x) for i, t in enumerate(texts) for x in WORD.findall(t)]
 
 
+def thue_morse(places):
+    """A word and its complement, whose polynomial sums modulo 2^64 agree for any odd base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(places))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("places", [32, 64, 65, 2048])
+def test_constructed_words_have_hashes_of_their_own(places):
+    import pyarrow as pa
+
+    a, b = thue_morse(places)
+    texts = [a, b, f"{a} {b}", f"{a} {b} {a} {b} {b} {a}"]
+    found = words(next(text_blocks(pa.array(texts))))
+    assert len(set(found.hash.tolist())) == 2
+    sets = list(chosen_path.shingle_sets(pa.array([f"{a} 1 2 3 4", f"{b} 1 2 3 4"]), 5))
+    assert chosen_path.set_id(sets[0]) != chosen_path.set_id(sets[1])
+    block = next(text_blocks(pa.array([f"{a} x y {b} x y"])))
+    assert ngram_ratio.base_counts(block, words(block))["n_repeat_words"].tolist() == [0]
+
+
 # --- exact duplicates ----------------------------------------------------------------
 
 def test_trie_holds_every_string_within_its_bound():

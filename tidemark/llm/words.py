@@ -7,6 +7,7 @@ on the bytes alone, so they are equal in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -74,6 +75,28 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * _powers["down"][start] + (end - start).astype(np.uint64))
 
 
+LONGEST_TABLED = 64
+# One number for each place and byte: sums of them have no structure that texts could meet.
+_TABLE = mix(np.arange(1, LONGEST_TABLED * 256 + 1, dtype=np.uint64) * np.uint64(BASE))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span that stands for its bytes: tabulated by place, of long spans a digest."""
+    size = end - start
+    out = np.zeros(len(start), dtype=np.uint64)
+    short = np.flatnonzero((size <= LONGEST_TABLED) & (size > 0))
+    if len(short):
+        lengths = size[short]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+        byte = data[place + np.repeat(start[short], lengths)]
+        out[short] = mix(np.add.reduceat(_TABLE[place * 256 + byte], first))
+    for i in np.flatnonzero(size > LONGEST_TABLED).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
@@ -93,7 +116,7 @@ def word_spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def words(block: TextBlock) -> Words:
     rows, start, end = word_spans(block)
-    return Words(rows, start, end, span_hashes(block.data, start, end))
+    return Words(rows, start, end, word_hashes(block.data, start, end))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
