@@ -6,8 +6,10 @@ t or more shares at least one child on average, whatever its sizes, while unlike
 A bucket is a node reached by two sets or more; one of more than ``leaf`` sets is split by
 the next token, down to ``DEPTH`` tokens.  Within a bucket all pairs are compared on 128-bit
 sketches, in blocks where it is still large, so no pair is lost to a cap.  Runs repeat until
-the recall asked for.  Sets that sketches bring together form clusters, in which every pair
-is compared on the whole sets, again in blocks.  Groups give each set's links as a number
+the recall asked for, in two parts: what the first runs have brought together is one
+cluster, and the other runs leave out nodes that hold sets of one cluster only, so a large
+group of near copies is split by a few runs and not by all.  Sets that sketches bring
+together form clusters, in which every pair is compared on the whole sets, again in blocks.  Groups give each set's links as a number
 and a representative, never as a list of pairs.  Rows with the same shingle set form one
 class first, which is never expanded.
 """
@@ -15,7 +17,7 @@ class first, which is never expanded.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from tidemark.functions.durable import durable
 from tidemark.llm.words import mix, shingles, text_blocks, words
 
 DEPTH = 3
+FIRST_RUNS = 5  # after which clusters are known
 SKETCH_BITS = 128
 SKETCH_SIGMAS = 4.5  # margin of the sketch test, in standard deviations at the threshold
 
@@ -70,7 +73,7 @@ def _children(tokens: np.ndarray, nodes: np.ndarray, used: list[np.ndarray], thr
 
 
 def chosen_paths(tokens: np.ndarray, roots: np.ndarray, threshold: float):
-    """First nodes of a set's paths, and for each the flat list of its (second, third) nodes.
+    """First nodes of a set's paths with their runs, and for each the flat list of its (second, third) nodes.
 
     A third node of 0 means that the path ends at the second.
     """
@@ -83,7 +86,7 @@ def chosen_paths(tokens: np.ndarray, roots: np.ndarray, threshold: float):
     order = np.argsort(up1[second], kind="stable")
     second, third = second[order], third[order]
     kids = np.stack((node2[second], third), axis=1).ravel()
-    return node1, 2 * np.bincount(up1[second], minlength=len(node1)), kids
+    return node1, run, 2 * np.bincount(up1[second], minlength=len(node1)), kids
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -136,14 +139,15 @@ def signatures(docs: DataFrame, size: int, threshold: float, runs: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, sizes, sketches, first, counts, kids, ends = [], [], [], [], [], [], [0]
+                ids, sizes, sketches, first, runs_of, counts, kids, ends = [], [], [], [], [], [], [], [0]
                 for tokens in shingle_sets(part.column(2), size):
                     ids.append(set_id(tokens))
                     sizes.append(len(tokens))
                     sketches.append(sketch(tokens, odd) if len(tokens) else np.zeros(2, np.int64))
                     if len(tokens):
-                        node1, count, kid = chosen_paths(tokens, roots, threshold)
+                        node1, run_of, count, kid = chosen_paths(tokens, roots, threshold)
                         first.append(node1)
+                        runs_of.append(run_of)
                         counts.append(count)
                         kids.append(kid)
                         ends.append(ends[-1] + len(node1))
@@ -154,9 +158,10 @@ def signatures(docs: DataFrame, size: int, threshold: float, runs: int) -> DataF
                 nodes = pa.StructArray.from_arrays(
                     [
                         pa.array(join(first)),
+                        pa.array(np.concatenate([np.zeros(0, np.int64), *runs_of]).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(join(kids))),
                     ],
-                    names=["node", "kids"],
+                    names=["node", "run", "kids"],
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -174,7 +179,7 @@ def signatures(docs: DataFrame, size: int, threshold: float, runs: int) -> DataF
     return docs.mapInArrow(
         run,
         "row_key long, key long, set_id binary, n long, low long, high long,"
-        " paths array<struct<node: long, kids: array<long>>>",
+        " paths array<struct<node: long, run: int, kids: array<long>>>",
     )
 
 
@@ -202,29 +207,38 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes that two sets or more have reached, with the node's number of sets."""
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    return nodes.join(sizes, "node")
+    """Rows of nodes that sets of two clusters or more have reached, with the node's number of sets.
+
+    Clusters are told by a hash: were two to collide, a pair would lose one node of its many.
+    """
+    sizes = nodes.groupBy("node").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("cluster").alias("_low"), F.max("cluster").alias("_high")
+    )
+    mixed = sizes.where((F.col("sets") > 1) & (F.col("_low") != F.col("_high")))
+    return nodes.join(mixed.select("node", "sets"), "node")
 
 
 def buckets(classes: DataFrame, leaf: int) -> DataFrame:
-    """(node, set_id, sets): for every path the first node with at most ``leaf`` sets, else its deepest."""
-    start = classes.select("set_id", F.inline("paths"))
+    """(node, set_id, sets): for every path the first node with at most ``leaf`` sets, else its third.
+
+    ``classes`` has set_id, paths and the ``cluster`` that a set is known to belong to; nodes
+    within one cluster have nothing new.  A path that ends before it comes to a small
+    bucket is left; the recall counts paths of full depth alone.
+    """
+    start = classes.select("set_id", "cluster", F.inline("paths")).drop("run")
     level1 = durable(_shared(start))
     pair = lambda i: F.transform(
         F.filter(F.sequence(F.lit(0), F.size("kids") - 1), lambda k: (k % 2) == 0),
         lambda k: F.element_at("kids", (k + 1 + i).cast("int")),
     )
     split = level1.where((F.col("sets") > leaf) & (F.size("kids") > 0)).select(
-        "set_id", F.inline(F.arrays_zip(pair(0).alias("second"), pair(1).alias("third")))
-    )
-    level2 = durable(
-        _shared(
-            split.groupBy("set_id", F.col("second").alias("node")).agg(F.collect_list("third").alias("kids"))
-        )
+        "set_id", "cluster", F.inline(F.arrays_zip(pair(0).alias("second"), pair(1).alias("third")))
     )
-    third = level2.where(F.col("sets") > leaf).select("set_id", F.explode("kids").alias("node")).where("node != 0")
-    level3 = _shared(third.distinct()).select("node", "set_id", "sets")
+    second = split.groupBy("set_id", "cluster", F.col("second").alias("node")).agg(F.collect_list("third").alias("kids"))
+    level2 = durable(_shared(durable(second)))
+    third = level2.where(F.col("sets") > leaf).select("set_id", "cluster", F.explode("kids").alias("node"))
+    # A table first: nodes are counted and then joined, which would expand the paths twice.
+    level3 = _shared(durable(third.where("node != 0").distinct())).select("node", "set_id", "sets")
     small = lambda level: level.where(F.col("sets") <= leaf).select("node", "set_id", "sets")
     return small(level1).unionByName(small(level2)).unionByName(level3)
 
@@ -413,7 +427,7 @@ def near_duplicates(
     threshold: float = 0.8,
     size: int = 5,
     recall: float = 0.999,
-    leaf: int = 32,
+    leaf: int = 256,
     block: int = 1024,
     block_tokens: int = 1 << 19,
     text: str = "text",
@@ -444,8 +458,18 @@ def near_duplicates(
             *[F.first(c).alias(c) for c in ("n", "low", "high", "paths")],
         )
     )
-    found = buckets(classes.select("set_id", "paths"), leaf)
-    clusters = components(sketch_stars(found, classes, block, threshold))
+
+    def stars(known: DataFrame, runs: Callable[[Column], Column]) -> DataFrame:
+        """Links of the paths of some runs; ``known`` has a set's cluster so far."""
+        paths = F.filter("paths", lambda path: runs(path["run"]))
+        found = buckets(known.select("set_id", "cluster", paths.alias("paths")), leaf)
+        return durable(sketch_stars(found, classes, block, threshold))
+
+    alone = F.xxhash64("set_id")
+    early = stars(classes.withColumn("cluster", alone), lambda run: run < FIRST_RUNS)
+    together = components(early).select("set_id", F.xxhash64("root").alias("known"))
+    labelled = classes.join(together, "set_id", "left").withColumn("cluster", F.coalesce("known", alone))
+    clusters = components(early.unionByName(stars(labelled, lambda run: run >= FIRST_RUNS)))
     sizes = clusters.join(classes.select("set_id", "row_key", "copies", "n"), "set_id")
     totals = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("set_tokens"))
     wanted = sizes.join(totals, "root").select(
