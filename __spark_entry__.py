@@ -18,9 +18,9 @@ from tidemark.functions.durable import durable, work_folder
 from tidemark.functions.dates import month_label, month_start
 from tidemark.functions.rounding import round_even
 from tidemark.functions.sketches import daily_sketches, merged_quantiles
-from tidemark.models import churn, lifetime, metrics, scaling, segments, split
+from tidemark.models import churn, lifetime, metrics, scaling, segments, split, spread
 from tidemark.models.store import load_model, save_model
-from tidemark.operators import analytics, audience, decisions, features, history, profiling, quality, views
+from tidemark.operators import analytics, audience, bins, decisions, features, history, profiling, quality, views
 from tidemark.plans.pipeline import run_pipeline
 from tidemark.sources import star, versioned
 from tidemark.sources.tables import Tables
@@ -198,11 +198,20 @@ def _predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained.tiers_agree(_training_features(spark, sf_dir), result.models[result.best_model])
 
 
-def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of fixed labels, whose silhouette has a closed form."""
+def _fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_features(spark, sf_dir)
     scaled = scaling.fit_scaler(rows, segments.SEGMENT_FEATURES).transform(rows)
-    return segments.silhouette(scaled.withColumn("segment", (F.col("customer_id") % 4).cast("int")))
+    return scaled.withColumn("segment", (F.col("customer_id") % 4).cast("int"))
+
+
+def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of fixed labels, whose silhouette has a closed form."""
+    return segments.silhouette(_fixed_segments(spark, sf_dir))
+
+
+def _euclidean_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the customers whose id is divisible by 100 against all."""
+    return spread.euclidean_silhouette(_fixed_segments(spark, sf_dir), F.col("customer_id") % 100 == 0)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -407,6 +416,7 @@ def queries() -> dict[str, Query]:
         "save_load_models": _save_load,
         "customer_segmentation": _customer_segmentation,
         "silhouette": _silhouette,
+        "euclidean_silhouette": _euclidean_silhouette,
         "trained_segment_profiles": lambda spark, d: trained.complete_profiles(_segmentation(spark, d)),
         "ltv_model": _ltv_model,
         "trained_ltv_metrics": lambda spark, d: trained.recomputed(_training_features(spark, d), _lifetime(spark, d)),
@@ -449,6 +459,9 @@ def queries() -> dict[str, Query]:
                 p, ["total_spend", "total_events", "num_transactions", "tenure_days"]
             )
         ),
+        "nice_histograms": on_stored_profile(
+            lambda p: bins.nice_histograms(p, ["total_spend", "total_events", "num_transactions", "tenure_days"])
+        ),
         "churn_by_dimension": _churn_by_dimension,
         "monthly_transactions": on_tables(profiling.monthly_transactions),
         "category_revenue": on_tables(profiling.category_revenue),

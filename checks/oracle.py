@@ -888,6 +888,18 @@ def oracle_sql() -> dict[str, str]:
         ),
     )
 
+    apart = " + ".join(f"(q.z{i} - r.z{i}) ** 2" for i in range(len(SCALED)))
+    scaled = f"(SELECT customer_id, customer_id % 4 AS segment, {z} FROM feats)"
+    add(
+        "euclidean_silhouette",
+        ["feats"],
+        f"""SELECT {even('avg((b - a) / greatest(a, b))', 4)} AS silhouette_score, count(*) AS sampled FROM (
+              SELECT customer_id, max(d / (n - 1)) FILTER (WHERE segment = k) AS a, min(d / n) FILTER (WHERE segment <> k) AS b
+              FROM (SELECT q.customer_id, q.segment, r.segment AS k, count(*) AS n, sum(sqrt({apart})) AS d
+                    FROM {scaled} q, {scaled} r WHERE q.customer_id % 100 = 0 GROUP BY ALL)
+              GROUP BY customer_id)""",
+    )
+
     # profiles
     add(
         "table_counts",
@@ -1007,4 +1019,20 @@ def oracle_sql() -> dict[str, str]:
                     payment_method FROM txns WHERE product_category = '2-HIGH')""",
     )
     q["upsert_versioned"] = q["upsert_by_key"]
+    values = " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM c360"
+        for m in ("total_spend", "total_events", "num_transactions", "tenure_days")
+    )
+    add(
+        "nice_histograms",
+        ["c360"],
+        f"""SELECT metric, bin * width AS bin_start, (bin + 1) * width AS bin_end, count(v) AS "rows"
+            FROM (SELECT metric, width, unnest(generate_series(floor(lo / width)::BIGINT, floor(hi / width)::BIGINT)) AS bin
+                  FROM (SELECT metric, lo, hi, CASE WHEN p >= e THEN p WHEN p * 2 >= e THEN p * 2 WHEN p * 5 >= e THEN p * 5
+                               ELSE p * 10 END AS width
+                        FROM (SELECT *, (hi - lo) / 20.0::DOUBLE AS e, pow(10.0::DOUBLE, floor(log10((hi - lo) / 20.0::DOUBLE))) AS p
+                              FROM (SELECT metric, min(v) AS lo, max(v) AS hi FROM ({values}) GROUP BY metric))))
+            LEFT JOIN (SELECT metric AS m, v FROM ({values})) ON m = metric AND floor(v / width) = bin
+            GROUP BY metric, bin, width""",
+    )
     return q

@@ -244,3 +244,81 @@ def test_the_seed_of_the_observation_dates_reaches_the_features(spark, monkeypat
     with pytest.raises(ZeroDivisionError):
         pipeline.run_pipeline(star.tables_from_star(spark, SF_DIR), str(tmp_path), observation_seed=7)
     assert seen == [7]
+
+
+# --- silhouette, bins, stages -----------------------------------------------------------
+
+def test_euclidean_silhouette_of_points(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from tidemark.models import spread
+
+    draw = random.Random(9)
+    points = [(i, [draw.gauss(0, 1) + 3 * (i % 3), draw.gauss(0, 1)], i % 3) for i in range(1, 150)] + [(150, [9.0, 9.0], 7)]
+    frame = spark.createDataFrame([(i, Vectors.dense(x), s) for i, x, s in points], ["customer_id", "scaled", "segment"])
+
+    def plain(i, x, s):
+        away = lambda o: sum((a - b) ** 2 for a, b in zip(x, o)) ** 0.5
+        mean = {k: [away(o) for j, o, t in points if t == k and j != i] for k in {t for _, _, t in points}}
+        if not mean[s]:
+            return 0.0
+        a = sum(mean[s]) / len(mean[s])
+        b = min(sum(v) / len(v) for k, v in mean.items() if k != s)
+        return (b - a) / max(a, b)
+
+    monkeypatch.setattr(spread, "BLOCK", 7)  # several blocks of asked rows
+    got = {r.customer_id: r.silhouette for r in spread.silhouette_samples(frame, F.col("customer_id") % 5 == 0).collect()}
+    want = {i: plain(i, x, s) for i, x, s in points if i % 5 == 0}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert got[150] == 0.0
+    assert spread.silhouette_samples(frame, F.lit(False)).count() == 0
+    one = frame.withColumn("segment", F.lit(1))
+    assert {r.silhouette for r in spread.silhouette_samples(one, F.col("customer_id") % 50 == 0).collect()} == {0.0}
+
+
+def test_nice_bins_by_hand_and_in_two_scans(spark, tmp_path):
+    from tidemark.operators import bins
+
+    values = [(0.0, 3, None), (12.0, 3, None), (99.0, 3, None), (47.5, None, None)]
+    spark.createDataFrame(values, "a double, b int, c double").write.parquet(str(tmp_path / "p"))
+    frame = spark.read.parquet(str(tmp_path / "p"))
+    found = bins.nice_histograms(frame, ["a", "b", "c"], 10)
+    got = sorted((r["metric"], r["bin_start"], r["bin_end"], r["rows"]) for r in found.collect())
+    counts = [1, 1, 0, 0, 1, 0, 0, 0, 0, 1]
+    assert got == [("a", 10.0 * i, 10.0 * i + 10, n) for i, n in enumerate(counts)] + [("b", 3.0, 4.0, 3)]
+    # The widths come from one scan, which their two uses share, and the counts from another.
+    assert plan_of(found).split("Initial Plan")[0].count("FileScan parquet") == 2
+    assert bins.nice_histograms(frame.limit(0), ["a"]).count() == 0
+    wide = spark.createDataFrame([(v,) for v in (0.001, 0.0199, 123456.0)], "a double")
+    rows_of = bins.nice_histograms(wide, ["a"], 20).collect()
+    assert {round(r.bin_end - r.bin_start, 6) for r in rows_of} == {10000.0} and sum(r.rows for r in rows_of) == 3
+
+
+def test_committed_stages_are_not_repeated(spark, tmp_path):
+    from tidemark.plans.stages import Stages, table_fingerprint
+
+    folder = str(tmp_path / "job")
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+
+    def job(upto=9, seed=1):
+        stages, built = Stages(spark, folder), []
+
+        def step(name, df):
+            built.append(name)
+            if len(built) > upto:
+                raise RuntimeError("killed")
+            return df
+
+        one, mark = stages.run("one", lambda: step("one", source.withColumn("x", F.col("id") + seed)), {"seed": seed}, {"in": table_fingerprint(source)})
+        two, _ = stages.run("two", lambda: step("two", one.agg(F.sum("x").alias("x"))), {}, {"one": mark})
+        return two.first().x, stages.ran
+
+    with pytest.raises(RuntimeError, match="killed"):
+        job(upto=1)
+    assert job() == (55, ["two"])  # the first stage was committed
+    assert job() == (55, [])
+    assert job(seed=2) == (65, ["one", "two"])  # other arguments, and all that depends on them
+    spark.range(10, 12).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    assert job() == (78, ["one", "two"])  # other inputs
