@@ -104,7 +104,7 @@ class Cutter:
 
 
 def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1 << 21) -> DataFrame:
-    """(unit, blocks): every different unit of ``docs`` (block, key, text) and the blocks that hold it.
+    """(unit, blocks, length): every different unit of ``docs`` (block, key, text), the blocks that hold it, its characters.
 
     A task holds at most about ``most`` units at a time and sends each once a block.  A
     unit's lattice has some forty times its rows, hence ``spread`` times the usual number
@@ -137,8 +137,14 @@ def unit_blocks(docs: DataFrame, pieces: Pieces, spread: int = 8, most: int = 1
         pa.default_memory_pool().release_unused()
 
     partitions = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = docs.select("block", "text").mapInArrow(run, "unit string, block long")
-    return pairs.repartition(partitions, "unit").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
+    # What later joins ask of a unit is asked here, and its length comes out of the aggregation: so no
+    # condition of one use goes below the shuffle, and all uses share it.
+    pairs = docs.select("block", "text").mapInArrow(run, "unit string, block long").where(F.col("unit").isNotNull())
+    return (
+        pairs.repartition(partitions, "unit")
+        .groupBy("unit")
+        .agg(F.collect_set("block").alias("blocks"), F.max(F.char_length("unit")).alias("length"))
+    )
 
 
 def lattice_edges(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -239,7 +245,7 @@ def unit_ids(units: DataFrame, pieces: Pieces) -> DataFrame:
     Units over ``MOST_ROWED`` characters have null, for ``long_unit_ids``.
     """
     # Both uses of the units need their blocks, so they are one and the same shuffle.
-    rowed = units.where((F.size("blocks") > 0) & (F.char_length("unit") <= MOST_ROWED)).select("unit")
+    rowed = units.where((F.size("blocks") > 0) & (F.col("length") <= MOST_ROWED)).select("unit")
     paths = best_paths(lattice_edges(rowed, pieces))
     numbers = F.array(*map(F.lit, pieces.bytes))
 
