@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 
 import pytest
 import zstandard
@@ -166,6 +167,54 @@ def test_main_text():
         assert isinstance(mincut_html.main_text(broken), str)
 
 
+STORY = [
+    f"The {place} part of this story tells at some length what the council decided on Monday, and why. " * 3
+    for place in ("first", "second", "third")
+]
+PROSE = "".join(f"<p>{part}</p>" for part in STORY)
+REMARK = "I have read all of this with great interest, said one reader, and I do agree with it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><main><article>{PROSE}</article></main><div class=sidebar><p>{REMARK}</div></div>',
+        f'<article><div class="elementor-widget-container">{PROSE}</div></article>',
+        f"<form id=page><article>{PROSE}</article><button>Send</button></form>",
+        f'<form id=page><div>{PROSE}</div><input></form><footer><a href="/">{REMARK}</a></footer>',
+        f'<div class="page search-results">{PROSE}</div>',
+        f'<div class="post social-news">{PROSE}</div><div class="social">{REMARK}</div>',
+        f'<article class="post comments-open">{PROSE}</article>',
+        f'<div title="hidden gems" data-role="navigation">{PROSE}</div>',
+        f"<div data-x=it's>{PROSE}</div>",
+        f"<select><option>{PROSE}",
+        f'<div class="cookie-box"><p>{REMARK}</p></div><div>{PROSE}</div>',
+        f'<article>{PROSE}<div class="discussion"><p>{REMARK}</p></div></article>',
+        f'<article>{PROSE}<h3>3 Comments</h3><div class=u><p>{REMARK}</p></div></article>',
+        f'<article>{PROSE}</article><section id=comments><article class="comment-body"><p>{REMARK}</p></article></section>',
+        f'<article>{PROSE}<div itemtype="https://schema.org/Comment"><p>{REMARK}</p></div></article>',
+        f'<article>{PROSE}<p hidden>{REMARK}</p></article>',
+    ],
+)
+def test_wrappers_and_comments(page):
+    assert mincut_html.main_text(f"<html><body>{page}</body></html>") == "\n".join(part.strip() for part in STORY)
+
+
+def test_formulas_stay():
+    page = f"<article><p>{STORY[0]} So <math><mi>x</mi><mo>=</mo><mn>3</mn></math> holds.</p></article>"
+    assert mincut_html.main_text(page).endswith("So x=3 holds.")
+
+
+@pytest.mark.parametrize(
+    "unit", ['<a b="', "<a b=\">\" ", "<", "<b", "<!--", "<svg>", "<p>some words here. ", "<h2>3 comments</h2>x", "<a ===="]
+)
+def test_broken_markup_takes_linear_time(unit):
+    began = time.process_time()
+    mincut_html.main_text(unit * (1_000_000 // len(unit)))
+    mincut_html.main_text("<div>" * 50_000 + "</p></x>" * 50_000)
+    assert time.process_time() - began < 30  # quadratic time takes many minutes
+
+
 def test_generated_articles(spark):
     for r in mincut_html.extract(spark.read.parquet(f"{SF_DIR}/pages.parquet").withColumn("copy", F.col("html"))).collect():
         inside = re.search(r"<article>(.*?)(?:</article>|$)", r["copy"], re.S)[1]
