@@ -12,6 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import durable
 from tidemark.llm import mincut_html, registry, url_model, warc_zstd
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -261,6 +262,22 @@ def test_round_trip(spark, odd, tmp_path):
     assert warc_zstd.round_trip(pages.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    folder = str(tmp_path)
+    rows = warc_zstd.with_revisits(pages)
+    warc_zstd.write_archives(rows.limit(7), folder, b"some words " * 9).collect()  # as of a lost attempt
+    written = durable(warc_zstd.write_archives(rows, folder, b"some words " * 9, archive_bytes=300))
+    assert warc_zstd.read_archives(spark, folder).count() == 47
+    assert sorted(int(r.record_id) for r in warc_zstd.read_written(written, folder).collect()) == list(range(40))
+    more = written.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records gives"):
+        warc_zstd.read_written(more, folder).collect()
+    missing = written.withColumn("archive", F.concat(F.lit("x"), "archive"))
+    with pytest.raises(Exception):
+        warc_zstd.read_written(missing, folder).collect()
+
+
 def archive(records, dictionary=b"some words of a dictionary " * 9):
     kind = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     encoder = zstandard.ZstdCompressor(dict_data=kind, write_checksum=True)

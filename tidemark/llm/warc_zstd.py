@@ -1,8 +1,9 @@
 """Zstandard WARC archives with a dictionary: writing from a table, reading back, checking.
 
 An archive begins with a skippable frame that holds the dictionary; then each record is a
-frame of its own.  Archives lie in a folder that all executors share; a task writes each
-under a name of its own and moves it into place, so a repeated task leaves the same files.
+frame of its own.  Archives lie in a folder that all executors share.  Every attempt of a
+task writes under names of its own; a table of the names from the attempts that succeeded,
+with their numbers of records, says what is read back.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import durable
+
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -190,29 +194,38 @@ def with_revisits(pages: DataFrame, key: str = "page_id", content: str = "html",
     )
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it."""
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder
+
+
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
-    """Write ``with_revisits`` rows as archives of about ``archive_bytes`` in ``folder``; a row per archive."""
+    """Write ``with_revisits`` rows as archives of about ``archive_bytes`` in ``folder``; a row per archive.
+
+    The rows name the archives of the attempts that succeeded: keep them (``durable``), as each
+    evaluation writes anew.  Archives of lost attempts stay in the folder, named by no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, base = store_of(folder)
         kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == TRAINED else zstandard.DICT_TYPE_RAWCONTENT
         encoder = zstandard.ZstdCompressor(
             level=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), write_checksum=True
         )
-        task = TaskContext.get()
+        task, attempt = TaskContext.get(), uuid.uuid4().hex
         leading = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
         parts, size, written, count = [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal parts, size, written, count
-            name = f"{base}/part-{task.partitionId():06d}-{written:04d}.warc.zst"
-            own = f"{base}/_{task.taskAttemptId()}-{written:04d}.tmp"
+            name = f"part-{task.partitionId():06d}-{attempt}-{written:04d}.warc.zst"
             store.create_dir(base, recursive=True)
-            with store.open_output_stream(own) as out:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(leading)
                 for part in parts:
                     out.write(part)
-            store.move(own, name)
             row = pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([count], pa.int64())})
             parts, size, count, written = [], 0, 0, written + 1
             return row
@@ -234,26 +247,54 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
     return records.select("number", "uri", "payload", "refers_to").mapInArrow(run, "archive string, records long")
 
 
+def batches_of(data: bytes, records: int | None = None, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The records of one archive, which holds ``records`` of them where that is known."""
+    rows, size, count = [], 0, 0
+    for row in archive_records(data):
+        rows.append(row)
+        size += len(row["payload"] or b"")
+        count += 1
+        if size > batch_bytes:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+            rows, size = [], 0
+    if records is not None and count != records:
+        raise ValueError(f"an archive of {records} records gives {count}")
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the ``*.warc.zst`` archives in ``folder``; ``error`` is null for a sound one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows, size = [], 0
-                for row in archive_records(data.as_py()):
-                    rows.append(row)
-                    size += len(row["payload"] or b"")
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                yield from batches_of(data.as_py())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("content").mapInArrow(run, RECORD)
 
 
+def read_written(written: DataFrame, folder: str) -> DataFrame:
+    """The records of the archives that ``written`` names (rows of ``write_archives``, kept).
+
+    Other archives in the folder, such as those of a lost attempt, are not read.  An archive
+    that is missing or gives another number of records fails the query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = store_of(folder)
+        for batch in batches:
+            for name, records in zip(*(column.to_pylist() for column in batch.columns)):
+                with store.open_input_stream(f"{base}/{name}", compression=None) as archive:
+                    data = archive.read()
+                yield from batches_of(data, records)
+
+    # An archive a task, as with files that Spark splits.
+    archives = max(1, written.count())
+    return written.select("archive", "records").repartition(archives, "archive").mapInArrow(run, RECORD)
+
+
 SCHEMA = pa.schema(
     [
         (name, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind])
@@ -264,23 +305,26 @@ SCHEMA = pa.schema(
 
 def round_trip(
     pages: DataFrame, folder: str, key: str = "page_id", content: str = "html", uri: str = "url", least: int = 0,
-    dictionary_pages: int = 500,
+    dictionary_pages: int = 500, dictionary_chars: int = 20_000,
 ) -> DataFrame:
     """Write every row of ``pages`` as a record into ``folder`` and read all records back.
 
-    The dictionary is trained on about ``dictionary_pages`` rows, drawn by a hash.  A
+    The dictionary is trained on the first ``dictionary_chars`` characters of about
+    ``dictionary_pages`` rows, drawn by a hash; the payloads are whole.  A
     null content is an empty payload.  Of equal payloads the smallest key is the response;
     rows that repeat that key are responses too; null keys revisit, unless all keys of a
     payload are null.  A null url leaves the header out; extra columns are ignored;
-    an empty table writes no archive and gives no rows.
+    an empty table writes no archive and gives no rows.  Fewer or more records written
+    than there are rows, or read than were written, fail.
     """
     # About dictionary_pages rows in all, drawn by a hash, whatever the number of tasks.
-    share = min(1.0, dictionary_pages / max(1, pages.count()))
+    rows = pages.count()
+    share = min(1.0, dictionary_pages / max(1, rows))
     drawn = F.pmod(F.xxhash64(key, F.length(content)), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = pages.where(drawn & (F.length(content) > 0)).select(content).limit(2 * dictionary_pages).collect()
-    dictionary = train_dictionary([row[0].encode() for row in chosen])
-    written = write_archives(with_revisits(pages, key, content, uri, least), folder, dictionary)
-    spark = pages.sparkSession
-    if not written.agg(F.sum("records")).first()[0]:  # this writes the archives
-        return spark.createDataFrame([], RECORD)
-    return read_archives(spark, folder)
+    sample = pages.where(drawn & (F.length(content) > 0)).select(F.substring(content, 1, dictionary_chars))
+    dictionary = train_dictionary([row[0].encode() for row in sample.limit(2 * dictionary_pages).collect()])
+    written = durable(write_archives(with_revisits(pages, key, content, uri, least), folder, dictionary))
+    records = written.agg(F.sum("records")).first()[0] or 0
+    if records != rows:
+        raise ValueError(f"{rows} rows gave {records} records")
+    return read_written(written, folder)
