@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -300,6 +301,32 @@ def test_what_stands_beside_a_value_does_not_hide_it():
             assert feistel.replaced(got, back) == (context.format(value), n), context
 
 
+def test_further_formats():
+    forth, back = feistel.Pseudonyms(b"key"), feistel.Pseudonyms(b"key", inverse=True)
+    values = """123 45 6789|March 3, 2021|3 Mar 2021|MAY 12, 1999|May 1 2020|phone: 4565552186|Tel. 4565552186
+4111.1111.1111.1111|31/12/99|12/31/99|2001:db8::ff00:42:8329|2001:DB8:0:0:8:800:200C:417A|fe80::1|fe80::a:1|1:2:3:4:5:6:7:8
+ghp_abcdefghijklmnopqrstuvwxyz0123456789|sk_live_ABCDEFGHabcdefgh1234|%foo@x.com""".replace("\n", "|").split("|")
+    for value in values:
+        got, n = feistel.replaced(f"at {value}, then", forth)
+        assert n == 1 and value not in got and len(got) == len(f"at {value}, then"), value
+        assert feistel.replaced(got, back) == (f"at {value}, then", 1), value
+    for kind, pattern in (("ip6", "{:x}::{:x}:{:d}"), ("short_date", "{:d}/{:d}/{:02d}")):
+        draw = np.random.default_rng(1)
+        for numbers in draw.integers(1, 29, size=(300, 3)).tolist():
+            value = pattern.format(*numbers)
+            got = getattr(forth, kind)(value)
+            assert (got is None) == (kind == "short_date" and min(numbers[:2]) > 12) and (got is None or getattr(back, kind)(got) == value)
+    for plain in ("std::vector", "Face::add1", "12:30:45", "3.1415 2.71828 1.41421 1.73205", "March 35, 2021", "31/31/99", "may 2020", "4565552186"):
+        assert feistel.replaced(f"a {plain} b", forth) == (f"a {plain} b", 0)
+
+
+@pytest.mark.parametrize("unit", ["a%", "a.", "1:", "a::", "1.", "12 ", "xox", "phone ", "Mar 1 ", "a@", "@a."])
+def test_search_takes_linear_time(unit):
+    began = time.process_time()
+    feistel.replaced(unit * (300_000 // len(unit)), feistel.Pseudonyms(b"key"))
+    assert time.process_time() - began < 30  # quadratic time takes many minutes
+
+
 def test_unpadded_dates_keep_their_width():
     forth, back = feistel.Pseudonyms(b"key"), feistel.Pseudonyms(b"key", inverse=True)
     for value in ("1/2/2021", "1/22/2021", "22/1/2021", "11/2/2021", "2021-1-2", "2021-11-2", "2021.1.22", "9.9.1999", "3/04/2021"):

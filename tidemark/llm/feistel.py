@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 
 ROUNDS = 10
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Names of months, beginnings of access tokens.
+MONTHS = "january february march april may june july august september october november december".split()
+TOKEN_START = r"gh[pousr]_|github_pat_|(?:sk|pk|rk)_(?:live|test)_|xox[abprs]-|AIza"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
@@ -139,14 +142,15 @@ class Pseudonyms:
 
     def social(self, text: str) -> str | None:
         """US social security numbers: area 001 to 899 without 666, group from 01, serial from 0001."""
-        area, group, serial = map(int, text.split("-"))
+        mark = text[3]
+        area, group, serial = map(int, text.split(mark))
         if area in (0, 666) or area > 899 or not group or not serial:
             return None
         value = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
         value, serial = divmod(self._permute(value, 898 * 99 * 9999, "social"), 9999)
         area, group = divmod(value, 99)
         area += 1
-        return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
+        return f"{area + (area >= 666):03d}{mark}{group + 1:02d}{mark}{serial + 1:04d}"
 
     def iban(self, text: str) -> str | None:
         """Country and layout stay, the account part is permuted, the check digits are renewed."""
@@ -186,6 +190,71 @@ class Pseudonyms:
         y, m, d = f"{day.year:04d}", f"{day.month:0{wide['m']}d}", f"{day.day:0{wide['d']}d}"
         return mark.join({"y": y, "m": m, "d": d}[part] for part in order)
 
+    def short_date(self, text: str) -> str | None:
+        """Dates with slashes and two digits of the year, read as 1950 to 2049."""
+        a, b, c = text.split("/")
+        late = int(a) > 12
+        month, day = (b, a) if late else (a, b)
+        year = int(c) + (2000 if int(c) < 50 else 1900)
+        try:
+            days, places = _days_written(late, len(month), len(day), 1950, 2049)
+            place = places[datetime.date(year, int(month), int(day))]
+        except (ValueError, KeyError):
+            return None
+        found = days[self._permute(place, len(days), f"short{late}{len(month)}{len(day)}")]
+        m, d = f"{found.month:0{len(month)}d}", f"{found.day:0{len(day)}d}"
+        return "/".join((d, m) if late else (m, d)) + f"/{found.year % 100:02d}"
+
+    def long_date(self, text: str) -> str | None:
+        """Dates with a month's name, permuted among those with names and days of equal length."""
+        name = re.search(r"[A-Za-z]{3,}", text)[0]
+        day, year = re.findall(r"\d+", text)
+        month = next(n for n, full in enumerate(MONTHS, 1) if name.lower() in (full, full[:3]))
+        short = len(name) == 3
+        days, places = _days_named(short, len(name), len(day))
+        try:
+            place = places[datetime.date(int(year), month, int(day))]
+        except (ValueError, KeyError):
+            return None
+        found = days[self._permute(place, len(days), f"named{short}{len(name)}{len(day)}")]
+        fresh = MONTHS[found.month - 1][: 3 if short else None]
+        fresh = fresh.upper() if name.isupper() else fresh.capitalize() if name[0].isupper() else fresh
+        numbers = iter((f"{found.day:0{len(day)}d}", f"{found.year:04d}"))
+        return re.sub(r"\d+", lambda _: next(numbers), text.replace(name, fresh))
+
+    def ip6(self, text: str) -> str | None:
+        """Colon-separated groups, their hexadecimal digits permuted; the head of local ones stays."""
+        groups, local = text.split(":"), text[:6].lower() == "fe80::"
+        if "::" in text:
+            # Scope operators look alike: an address has a decimal digit and more than two groups.
+            if len(groups) > 8 or not re.search(r"\d", text) or not local and len(list(filter(None, groups))) < 3:
+                return None
+        at = 6 if local else 0
+        digits = text[at:].replace(":", "")
+        if digits.isdecimal():
+            alphabet = DIGITS
+        else:
+            alphabet = DIGITS + ("ABCDEF" if digits.upper() == digits else "abcdef")
+            digits = digits if alphabet[-1] == "F" else digits.lower()
+        tweak = "-".join(str(len(g)) for g in text[at:].split(":"))
+        while True:  # along the cycle to the next address of the same kind
+            digits = self._digits(digits, alphabet, f"ip6{tweak}")
+            fresh = iter(digits)
+            found = text[:at] + "".join(c if c == ":" else next(fresh) for c in text[at:])
+            whole = alphabet == DIGITS or not digits.isdecimal() and ("::" not in text or re.search(r"\d", found))
+            if whole and (found[:6].lower() == "fe80::") == local:
+                return found
+
+    def marked_phone(self, text: str) -> str | None:
+        """Ten digits in a row after a word such as "phone", which stays."""
+        number = self.phone(text[-10:])
+        return None if number is None else text[:-10] + number
+
+    def token(self, text: str) -> str | None:
+        """Access tokens with a known beginning, which stays."""
+        at = re.match(TOKEN_START, text).end()
+        return text[:at] + self.characters(text[at:], "token")
+
     def email(self, text: str) -> str | None:
         name, domain = text.rsplit("@", 1)
         labels = domain.split(".")
@@ -213,24 +282,53 @@ class Pseudonyms:
         return "".join(reversed(out))
 
 
+def _every_day() -> Iterator[datetime.date]:
+    return (FIRST_DAY + datetime.timedelta(n) for n in range((LAST_DAY - FIRST_DAY).days + 1))
+
+
 @functools.cache
-def _days_written(late: bool, month: int, day: int) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+def _days_written(
+    late: bool, month: int, day: int, first: int = FIRST_DAY.year, last: int = LAST_DAY.year
+) -> tuple[list[datetime.date], dict[datetime.date, int]]:
     """The days that can be written with so many digits of month and day, and their places."""
-    every = (FIRST_DAY + datetime.timedelta(n) for n in range((LAST_DAY - FIRST_DAY).days + 1))
-    days = [d for d in every if d.month < 10**month and d.day < 10**day and (not late or d.day > 12)]
+    days = [
+        d
+        for d in _every_day()
+        if d.month < 10**month and d.day < 10**day and (not late or d.day > 12) and first <= d.year <= last
+    ]
+    return days, {d: place for place, d in enumerate(days)}
+
+
+@functools.cache
+def _days_named(short: bool, name: int, day: int) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """The days whose month's name, or its beginning, and day of the month have so many characters.
+
+    "May" is a beginning like the others.
+    """
+    days = [
+        d
+        for d in _every_day()
+        if (short or len(MONTHS[d.month - 1]) == name) and (day == 2 or d.day < 10)
+    ]
     return days, {d: place for place, d in enumerate(days)}
 
 
 # Kinds in order of precedence; the name is that of the method that validates and replaces.  Values
 # of written-out length end where their pattern ends; cards and IBANs are cut from what it matches.
+_MONTH = "(?:" + "|".join(f"{name}|{name[:3]}" for name in MONTHS) + ")"
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)[\"']?\s*[=:]\s*[\"']?)[0-9a-fA-F]{16,}(?![0-9A-Za-z])",
+    "token": rf"(?<![A-Za-z0-9_])(?:{TOKEN_START})[A-Za-z0-9_-]{{16,}}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}",
     "date": r"(?<![\d./-])(?:\d{4}(?P<m1>[-./])\d{1,2}(?P=m1)\d{1,2}|\d{1,2}(?P<m2>[./-])\d{1,2}(?P=m2)\d{4})(?![\d/-]|\.\d)",
-    "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "short_date": r"(?<![\w./-])\d{1,2}/\d{1,2}/\d{2}(?![\w/-]|\.\d)",
+    "long_date": rf"(?<![A-Za-z0-9])(?i:{_MONTH}\.? \d{{1,2}},? \d{{4}}|\d{{1,2}} {_MONTH}\.?,? \d{{4}})(?![A-Za-z0-9])",
+    "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d-])(?<!\d )\d{3} \d{2} \d{4}(?! ?\d|-)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\w:])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "card": r"(?<![\d+])[2-6](?:[ -]?\d){12,18}",
+    "card": r"(?<![\d+])[2-6](?:[ .-]?\d){12,18}",
+    "marked_phone": r"(?i:(?<!\w)(?:phone|telephone|tel|mobile|cell|fax|whatsapp)(?: (?:number|no))?[.:]{0,2} (?:is )?)[2-9]\d{9}(?!\w)",
     "phone": r"(?<![\w+(])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\w+])(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
     r"|(?<![\w+])\+\d(?:[ .-]?(?:\(\d{1,4}\)|\d)){7,14}(?!\d)",
@@ -238,7 +336,7 @@ KINDS = {
 PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
 _ALONE = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
 _AFTER = {kind: list(KINDS)[place:] for place, kind in enumerate(KINDS)}
-_MAYBE = re.compile(r"[0-9]|@[A-Za-z0-9-]+\.")
+_MAYBE = re.compile(rf"[0-9]|@[A-Za-z0-9-]+\.|{TOKEN_START}")
 
 # How cards are written: in one run, or in these groups with one mark between them.
 CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
@@ -281,7 +379,10 @@ def card_cuts(found: str) -> tuple[list[int], list[int]]:
         if 13 <= digits <= 19 and found[end] not in DIGITS:
             marks = {found[e] for _, e in runs[:number]}
             one_way = number == 0 or len(marks) == 1 and [e - s for s, e in runs[: number + 1]] in CARD_GROUPS
-            (usual if one_way else other).append(end)
+            if one_way:
+                usual.append(end)
+            elif "." not in found[:end]:  # else rather decimal numbers in a row
+                other.append(end)
     if any(end - start == 1 for start, end in runs):
         other = other[-1:]
     return usual, other[::-1]
