@@ -18,11 +18,11 @@ from tidemark.functions.durable import durable, work_folder
 from tidemark.functions.dates import month_label, month_start
 from tidemark.functions.rounding import round_even
 from tidemark.functions.sketches import daily_sketches, merged_quantiles
-from tidemark.models import churn, lifetime, metrics, scaling, segments, split, spread
+from tidemark.models import churn, drift, lifetime, metrics, scaling, segments, split, spread
 from tidemark.models.store import load_model, save_model
 from tidemark.operators import analytics, audience, bins, decisions, features, history, profiling, quality, views
 from tidemark.plans.pipeline import run_pipeline
-from tidemark.sources import star, versioned
+from tidemark.sources import months, star, versioned
 from tidemark.sources.tables import Tables
 
 try:
@@ -117,6 +117,29 @@ def _segmentation(spark: SparkSession, sf_dir: str) -> segments.Segmentation:
     )
 
 
+DRIFTING = ["tenure_days", "total_spend", "num_transactions", "total_events", "events_last_30d"]
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churned customers against a profile of those who stay."""
+    rows, levels = _training_features(spark, sf_dir), ["country", "acquisition_channel"]
+    profile = durable(drift.feature_profile(rows.where("is_churned = 0"), DRIFTING, levels))
+    return drift.drift_report(profile, rows.where("is_churned = 1"), DRIFTING, levels)
+
+
+def _recent_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the 30 days up to each observation date, from the months they are in."""
+    tables = _tables(spark, sf_dir)
+    path = f"{work_folder(spark)}/events-{uuid.uuid4().hex}"
+    months.save_by_month(tables.events, "events", path)
+    observed = durable(features.observation_points(tables.customers, star.AS_OF))
+    recent = months.load_until(spark, "events", path, observed, 30)
+    counts = recent.groupBy("customer_id").agg(F.count(F.lit(1)).alias("events_last_30d"))
+    return observed.join(counts, "customer_id", "left").select(
+        "customer_id", F.coalesce("events_last_30d", F.lit(0)).cast("long").alias("events_last_30d")
+    )
+
+
 def _lifetime(spark: SparkSession, sf_dir: str) -> lifetime.LifetimeTraining:
     return _once(
         "lifetime",
@@ -459,6 +482,8 @@ def queries() -> dict[str, Query]:
                 p, ["total_spend", "total_events", "num_transactions", "tenure_days"]
             )
         ),
+        "drift_report": _drift,
+        "recent_events_by_month": _recent_by_month,
         "nice_histograms": on_stored_profile(
             lambda p: bins.nice_histograms(p, ["total_spend", "total_events", "num_transactions", "tenure_days"])
         ),

@@ -1035,4 +1035,38 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN (SELECT metric AS m, v FROM ({values})) ON m = metric AND floor(v / width) = bin
             GROUP BY metric, bin, width""",
     )
+    numbers = " UNION ALL ".join(
+        f"SELECT is_churned AS scored, '{m}' AS feature, CAST({m} AS DOUBLE) AS v FROM feats"
+        for m in ("tenure_days", "total_spend", "num_transactions", "total_events", "events_last_30d")
+    )
+    levels = " UNION ALL ".join(
+        f"SELECT is_churned, '{c}', coalesce({c}, '(missing)') FROM feats" for c in ("country", "acquisition_channel")
+    )
+    add(
+        "drift_report",
+        ["feats"],
+        f"""SELECT feature, CAST(any_value(tn) AS BIGINT) AS trained_rows, CAST(any_value(sn) AS BIGINT) AS scored_rows,
+              CAST(sum(CASE WHEN t = 0 THEN s ELSE 0 END) AS BIGINT) AS unseen_rows,
+              round(sum((q - p) * ln(q / p)), 6) AS stability_index,
+              CASE WHEN round(sum((q - p) * ln(q / p)), 6) >= 0.25 THEN 'shifted'
+                   WHEN round(sum((q - p) * ln(q / p)), 6) >= 0.1 THEN 'moving' ELSE 'stable' END AS verdict
+            FROM (SELECT *, (t + 0.5::DOUBLE) / (tn + 0.5::DOUBLE * parts) AS p, (s + 0.5::DOUBLE) / (sn + 0.5::DOUBLE * parts) AS q
+                  FROM (SELECT *, sum(t) OVER w AS tn, sum(s) OVER w AS sn, count(*) OVER w AS parts
+                        FROM (SELECT feature, CASE WHEN t = 0 THEN '(unseen)' ELSE part END AS part, sum(t) AS t, sum(s) AS s
+                              FROM (SELECT feature, part, count(*) FILTER (WHERE scored = 0) AS t, count(*) FILTER (WHERE scored = 1) AS s
+                                    FROM (SELECT scored, feature, CAST(CAST(floor(v / width) AS BIGINT) AS VARCHAR) AS part
+                                          FROM ({numbers}) JOIN
+                                            (SELECT feature, CASE WHEN hi = lo THEN 1 WHEN p >= e THEN p WHEN p * 2 >= e THEN p * 2
+                                                      WHEN p * 5 >= e THEN p * 5 ELSE p * 10 END AS width
+                                             FROM (SELECT *, (hi - lo) / 10.0::DOUBLE AS e,
+                                                     pow(10.0::DOUBLE, floor(log10(nullif((hi - lo) / 10.0::DOUBLE, 0)))) AS p
+                                                   FROM (SELECT feature, min(v) AS lo, max(v) AS hi FROM ({numbers}) WHERE scored = 0 GROUP BY feature)))
+                                          USING (feature)
+                                          UNION ALL {levels})
+                                    GROUP BY feature, part)
+                              GROUP BY 1, 2)
+                        WINDOW w AS (PARTITION BY feature)))
+            GROUP BY feature""",
+    )
+    add("recent_events_by_month", ["feats"], "SELECT customer_id, events_last_30d FROM feats")
     return q

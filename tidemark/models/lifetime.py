@@ -8,8 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.durable import dealt_by, durable
+from tidemark.functions.rounding import round_even
 from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
 from tidemark.models.split import test_part, train_part, train_test_split
@@ -64,3 +66,13 @@ def train_ltv_model(
         regression_metrics(model.transform(test)),
         importance_rows(features, LTV_FEATURES, boosted.featureImportances),
     )
+
+
+def predict_ltv(features: DataFrame, model: PipelineModel) -> DataFrame:
+    """(customer_id, total_spend, predicted_ltv, expected_growth): predictions in cents, none below zero."""
+    predicted = round_even(F.greatest(F.col("prediction"), F.lit(0.0)), 2)
+    return (
+        model.transform(features)
+        .select("customer_id", "total_spend", predicted.alias("predicted_ltv"))
+        .withColumn("expected_growth", round_even(F.col("predicted_ltv") - F.col("total_spend"), 2))
+    )

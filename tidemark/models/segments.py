@@ -103,3 +103,15 @@ def name_segments(profiles: DataFrame) -> DataFrame:
         .drop("typical_spend")
         .orderBy("segment")
     )
+
+
+def assign_segments(features: DataFrame, model: PipelineModel, profiles: DataFrame) -> DataFrame:
+    """(customer_id, segment, segment_name) of every customer, also of ones the model never saw.
+
+    ``profiles`` are the named profiles of the training, one row per cluster.  Ids stay as
+    they are, repeated ones too.
+    """
+    names = F.broadcast(profiles.select("segment", "segment_name"))  # one row per cluster
+    return model.transform(features).select("customer_id", "segment").join(names, "segment", "left").select(
+        "customer_id", "segment", "segment_name"
+    )
