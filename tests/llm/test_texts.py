@@ -4,6 +4,7 @@ against a plain version, and with nulls, empty and long texts, ties, repeats, cl
 import collections
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -11,6 +12,7 @@ import time
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm.helpers import WORD, documents, shingle_set, unigram_model
@@ -165,6 +167,33 @@ def test_base_counts(spark, odd, real):
     assert ngram_ratio.quality(odd, model).count() == odd.count()
 
 
+def test_counts_and_threshold_cover_every_label(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(40)], k=draw.randrange(50, 90))) for _ in range(120)]
+    labels = {i: draw.choice((0, 1)) for i in range(0, 120, 3)}
+    docs = documents(spark, texts)
+    known = spark.createDataFrame([(i, v) for i, v in labels.items()] + [(None, 1), (5, None)], "doc_id long, quality int")
+    model = ngram_ratio.fit(docs, known)
+    want = np.zeros_like(model.counts)
+    for i, text in enumerate(texts):
+        for block in text_blocks(pa.array([text])):
+            _, slot = ngram_ratio.slots(words(block))
+            want[1] += np.bincount(slot, minlength=want.shape[1])
+            if labels.get(i) == 1:
+                want[0] += np.bincount(slot, minlength=want.shape[1])
+    assert (model.counts == want).all()
+    # The threshold against every other one.
+    rows = [(draw.gauss(0.3 * v, 0.4), v) for v in (0, 1) for _ in range(400 if v else 4000)]
+    scored = spark.createDataFrame([(s, v, 60, 0) for s, v in rows], "score double, quality int, n_words long, n_repeat_words long")
+    threshold = ngram_ratio.fit_threshold(scored, "quality")
+
+    def saved(at):
+        return sum((1 if v == 0 else -ngram_ratio.LOSS) for s, v in rows if s < at)
+
+    steps = {math.floor(s / ngram_ratio.BIN) for s, _ in rows}
+    assert saved(threshold) == max(0, *(saved(step * ngram_ratio.BIN) for step in steps))
+
+
 def test_ratio_keeps_trusted_text_and_drops_junk(spark):
     draw = random.Random(1)
     good = [" ".join(draw.choices([f"g{i}" for i in range(300)], k=90)) for _ in range(150)]

@@ -3,8 +3,7 @@
 Two multinomials over hashed word n-grams (orders 1 and 2) are compared: one of trusted
 text, one of the whole corpus.  A document's score is the mean log ratio over its
 n-grams; a document is kept if its score reaches a fixed threshold.  The corpus counts
-cover every document; trusted text and the threshold come from labelled rows, of which at
-most ``max_labelled`` are used, drawn by a hash of the key.
+cover every document, trusted text and the threshold every labelled one.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import durable
 from tidemark.llm.words import TextBlock, Words, shingles, text_blocks, words
 
 # Fixed values of the rules.
@@ -100,13 +100,18 @@ def base_counts(block: TextBlock, found: Words) -> dict[str, np.ndarray]:
 def sampled_labels(labels: DataFrame, label: str, max_labelled: int, key: str = "doc_id") -> DataFrame:
     """(key, label) of about ``max_labelled`` labelled keys at most, drawn by a hash; a key with
     several labels has its largest.  Small by that bound, so it may be broadcast."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy(key).agg(F.max(label).alias(label))
+    known = all_labels(labels, label, key)
     share = min(1.0, max_labelled / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
     return F.broadcast(drawn)
 
 
+def all_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """(key, label) of every labelled key; a key with several labels has its largest."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(key).agg(F.max(label).alias(label))
+
+
 def ngram_counts(docs: DataFrame, text: str = "text", trusted: str = "trusted") -> np.ndarray:
     """Counts of every slot, row 0 of the trusted documents, row 1 of all; added up by Spark."""
     size = 1 << SLOTS_LOG2
@@ -212,17 +217,21 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
-    max_labelled: int = 200_000,
     text: str = "text",
     key: str = "doc_id",
 ) -> Model:
-    """Count the corpus, then set the threshold.  Without trusted rows every score is 0 and all pass."""
-    known = sampled_labels(labels.select(key, label), label, max_labelled, key)
-    rows = docs.select(key, text).join(known, key, "left").withColumn("trusted", F.col(label) == 1)
-    counts = ngram_counts(rows, text)
+    """Count the corpus and all trusted texts, then set the threshold on every labelled document.
+
+    The corpus is counted where it lies; only labelled texts meet their labels, and are kept
+    as a table, as they are read twice.  Without trusted rows every score is 0 and all pass.
+    """
+    known = all_labels(labels.select(key, label), label, key)
+    met = docs.select(key, text).join(known, key)
+    labelled = durable(met.select(text, label, (F.col(label) == 1).alias("trusted")))
+    counts = ngram_counts(docs.select(text).withColumn("trusted", F.lit(False)), text)
+    counts[0] = ngram_counts(labelled.where("trusted"), text)[1]
     if not counts[0].any():
         return Model(counts[[1, 1]], float("-inf"))
-    labelled = docs.select(key, text).join(known, key).withColumn("trusted", F.col(label) == 1)
     return Model(counts, fit_threshold(judge(labelled, counts, text, "trusted"), label))
 
 
