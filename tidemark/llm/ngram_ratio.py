@@ -25,6 +25,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
 SLOTS_LOG2 = 16
+LABEL_BITS_LOG2 = 26  # of the bitmap that finds labelled rows
 ORDERS = (1, 2)
 BIN = 0.005  # width of a threshold's step
 PRIOR = 1000.0
@@ -112,6 +113,22 @@ def all_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     return known.groupBy(key).agg(F.max(label).alias(label))
 
 
+def with_labels(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` that have a label, with it.
+
+    A bitmap of hashed keys, of 8 MB at most whatever the number of labels, keeps most texts
+    without a label out of the shuffle.  The join is by shuffle at every size, so a plan doesn't
+    turn with the number of labels.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << LABEL_BITS_LOG2))
+    place = {"_bucket": F.bitmap_bucket_number(slot), "_bit": F.bitmap_bit_position(slot)}
+    bits = known.withColumns(place).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    maybe = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    likely = docs.withColumns(place).join(F.broadcast(bits), "_bucket").where(maybe).select(*docs.columns)
+    return likely.join(known.hint("merge"), key)
+
+
 def ngram_counts(docs: DataFrame, text: str = "text", trusted: str = "trusted") -> np.ndarray:
     """Counts of every slot, row 0 of the trusted documents, row 1 of all; added up by Spark."""
     size = 1 << SLOTS_LOG2
@@ -226,7 +243,7 @@ def fit(
     as a table, as they are read twice.  Without trusted rows every score is 0 and all pass.
     """
     known = all_labels(labels.select(key, label), label, key)
-    met = docs.select(key, text).join(known, key)
+    met = with_labels(docs.select(key, text), known, key)
     labelled = durable(met.select(text, label, (F.col(label) == 1).alias("trusted")))
     counts = ngram_counts(docs.select(text).withColumn("trusted", F.lit(False)), text)
     counts[0] = ngram_counts(labelled.where("trusted"), text)[1]
