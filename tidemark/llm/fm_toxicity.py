@@ -4,8 +4,8 @@ Terms are lower-cased words and, of longer words, the first bytes; a document is
 of its terms' hash slots.  The machine adds to a bias the weight of each present slot and,
 for every two slots, the product of their factor vectors: an insult beside a mention of a
 group weighs more than both alone.  It is fitted on at most ``max_labelled`` labelled
-documents, drawn by a hash of the key, with the slots that the labels bear on; every
-document is scored whole.
+documents, drawn by a hash of the key.  It takes every slot that bears on the labels,
+alone or, by a first fit over all slots, together with others; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -24,9 +24,15 @@ from tidemark.llm.words import TextBlock, span_hashes, text_blocks
 SLOTS_LOG2 = 20
 PREFIX_BYTES = 5
 MIN_DOCUMENTS = 4
-MOST_SLOTS = 4096
 FACTORS = 4
-EPOCHS, BATCH, RATE, PENALTY = 30, 64, 0.1, 1e-5
+BATCH, RATE, PENALTY = 64, 0.1, 1e-5
+START = 0.02  # spread of the factors before a fit
+SHORT = 32  # slots; the pairs of a row with n slots weigh SHORT / (SHORT + n), else long rows drown all others
+# Epochs, and the squared gradients that a parameter starts with: many hold back what is rare.
+SCREEN_EPOCHS, SCREEN_CALM = 5, 10.0
+EPOCHS, CALM = 30, 1e-8
+ALONE = 2.0  # times the log of the number of slots: the chi-square from which a slot's own effect counts
+JOINT = 16  # times the median of the screened factors' squares, from which a slot's pairs count
 
 
 class Machine(NamedTuple):
@@ -77,50 +83,60 @@ def labelled_terms(docs: DataFrame, label: str, text: str = "text") -> DataFrame
     return docs.select(F.col(label).cast("int").alias("label"), text).mapInArrow(run, "label int, slots array<int>")
 
 
-def _sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+def _row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the values of each row; rows rise."""
     out = np.zeros((rows, *values.shape[1:]))
-    np.add.at(out, row, values)
+    if len(row):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
+def pair_weight(row: np.ndarray, rows: int) -> np.ndarray:
+    return SHORT / (SHORT + np.bincount(row, minlength=rows))
+
+
 def margins(machine: Machine, row: np.ndarray, place: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each row, and its summed factors."""
     factor = machine.factor[place]
-    total = _sums(factor, row, rows)
-    squares = _sums(factor**2, row, rows)
+    total = _row_sums(factor, row, rows)
+    squares = _row_sums(factor**2, row, rows)
     linear = np.bincount(row, weights=machine.weight[place], minlength=rows)
-    return machine.bias + linear + 0.5 * (total**2 - squares).sum(axis=1), total
+    pairs = 0.5 * (total**2 - squares).sum(axis=1)
+    return machine.bias + linear + pair_weight(row, rows) * pairs, total
+
 
+def alone(label: np.ndarray, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """For each slot, whether its presence and the label go together, by chi-square.
 
-def informative(label: np.ndarray, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """The slots whose presence and label go together most, by chi-square; ties to the lower slot."""
+    The bar rises with the number of slots that are tried, so that few pass it by chance.
+    """
     n, toxic = len(label), label.sum()
     seen = np.bincount(slot, minlength=1 << SLOTS_LOG2).astype(float)
     with_label = np.bincount(slot, weights=label[row], minlength=1 << SLOTS_LOG2)
     expected = seen * toxic / max(n, 1)
     spread = expected * (1 - toxic / max(n, 1)) * (1 - seen / max(n, 1)) + 1e-9
-    chi = (with_label - expected) ** 2 / spread
-    chi[seen < MIN_DOCUMENTS] = 0
-    best = np.lexsort((np.arange(len(chi)), -chi))[:MOST_SLOTS]
-    return np.sort(best[chi[best] > 4])
+    return (with_label - expected) ** 2 / spread > ALONE * np.log(max(2, np.count_nonzero(seen >= MIN_DOCUMENTS)))
 
 
-def train(label: np.ndarray, row: np.ndarray, slot: np.ndarray, seed: int = 7) -> Machine:
-    """Logistic loss, mini-batches, AdaGrad.  With one label or none only a bias is learnt."""
-    chosen = informative(label, row, slot)
+def descend(
+    label: np.ndarray, row: np.ndarray, slot: np.ndarray, chosen: np.ndarray, epochs: int, calm: float, seed: int
+) -> Machine:
+    """Logistic loss, mini-batches, AdaGrad, over the chosen slots; rows rise."""
     place = np.full(1 << SLOTS_LOG2, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     known = place[slot] >= 0
     row, spot = row[known], place[slot[known]]
     random = np.random.default_rng(seed)
     share = (label.sum() + 1) / (len(label) + 2)
-    machine = Machine(place, float(np.log(share / (1 - share))), np.zeros(len(chosen)), random.normal(0, 0.05, (len(chosen), FACTORS)))
+    start = random.normal(0, START, (len(chosen), FACTORS))
+    machine = Machine(place, float(np.log(share / (1 - share))), np.zeros(len(chosen)), start)
     if not len(chosen):
         return machine
     starts = np.searchsorted(row, np.arange(len(label) + 1))
-    bias, bias_sum = machine.bias, 1e-8
-    weight_sum, factor_sum = np.full(len(chosen), 1e-8), np.full(machine.factor.shape, 1e-8)
-    for _ in range(EPOCHS):
+    bias, bias_sum = machine.bias, calm
+    weight_sum, factor_sum = np.full(len(chosen), calm), np.full(machine.factor.shape, calm)
+    for _ in range(epochs):
         order = random.permutation(len(label))
         for at in range(0, len(order), BATCH):
             picked = order[at : at + BATCH]
@@ -129,10 +145,11 @@ def train(label: np.ndarray, row: np.ndarray, slot: np.ndarray, seed: int = 7) -
             offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             here = spot[np.repeat(starts[picked], sizes) + offsets]
             margin, total = margins(machine._replace(bias=bias), member, here, len(picked))
-            error = 1 / (1 + np.exp(-margin)) - label[picked]
+            error = 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - label[picked]
             touched, inverse = np.unique(here, return_inverse=True)
             d_weight = np.bincount(inverse, weights=error[member], minlength=len(touched))
-            d_factor = _sums(error[member][:, None] * (total[member] - machine.factor[here]), inverse, len(touched))
+            pull = (error * pair_weight(member, len(picked)))[member][:, None] * (total[member] - machine.factor[here])
+            d_factor = np.stack([np.bincount(inverse, weights=p, minlength=len(touched)) for p in pull.T], axis=1)
             d_weight += PENALTY * machine.weight[touched]
             d_factor += PENALTY * machine.factor[touched]
             weight_sum[touched] += d_weight**2
@@ -144,6 +161,22 @@ def train(label: np.ndarray, row: np.ndarray, slot: np.ndarray, seed: int = 7) -
     return machine._replace(bias=float(bias))
 
 
+def train(label: np.ndarray, row: np.ndarray, slot: np.ndarray, seed: int = 7) -> Machine:
+    """A short, damped fit over every slot in ``MIN_DOCUMENTS`` rows or more, then the machine.
+
+    The machine has the slots with an effect of their own and those whose factors grew in the
+    first fit: a pair counts whose slots say nothing alone.  With one label or none only a bias
+    is learnt.
+    """
+    seen = np.bincount(slot, minlength=1 << SLOTS_LOG2) >= MIN_DOCUMENTS
+    if len(np.unique(label)) < 2 or not seen.any():
+        return descend(label, row, slot, np.zeros(0, np.int64), 0, CALM, seed)
+    usual = np.flatnonzero(seen)
+    grown = (descend(label, row, slot, usual, SCREEN_EPOCHS, SCREEN_CALM, seed).factor ** 2).sum(axis=1)
+    kept = alone(label, row, slot)[usual] | (grown > JOINT * np.median(grown))
+    return descend(label, row, slot, usual[kept], EPOCHS, CALM, seed)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
