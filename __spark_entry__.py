@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from checks import oracle, trained
+from checks import oracle, planted, trained
 from tidemark.functions.durable import durable, work_folder
 from tidemark.functions.dates import month_label, month_start
 from tidemark.functions.rounding import round_even
@@ -272,6 +272,27 @@ def _customer_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained.settled(_training_features(spark, sf_dir), _segmentation(spark, sf_dir).model)
 
 
+def _planted_churn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, churn.ChurnTraining]:
+    def fit() -> tuple[DataFrame, churn.ChurnTraining]:
+        rows = durable(planted.churn_rows(_training_features(spark, sf_dir)))
+        return rows, churn.train_churn_model(rows)
+
+    return _once("planted churn", spark, sf_dir, fit)
+
+
+def _planted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = durable(planted.segment_rows(_training_features(spark, sf_dir)))
+    return planted.segments_of_customers(rows, _scratch(spark, "model"))
+
+
+def _planted_value(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lifetime.LifetimeTraining]:
+    def fit() -> tuple[DataFrame, lifetime.LifetimeTraining]:
+        rows = durable(planted.value_rows(_training_features(spark, sf_dir)))
+        return rows, lifetime.train_ltv_model(rows, planted.ROUNDS)
+
+    return _once("planted value", spark, sf_dir, fit)
+
+
 def _monthly_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("customer_id", decisions.monthly_value().alias("monthly_value"))
 
@@ -444,6 +465,14 @@ def queries() -> dict[str, Query]:
         "ltv_model": _ltv_model,
         "trained_ltv_metrics": lambda spark, d: trained.recomputed(_training_features(spark, d), _lifetime(spark, d)),
         "ltv_feature_importance": lambda spark, d: trained.sound_importances(_lifetime(spark, d).feature_importances),
+        # models trained on planted answers
+        "planted_churn_scores": lambda spark, d: planted.churn_scores(
+            *_planted_churn(spark, d), _scratch(spark, "model")
+        ),
+        "planted_churn_metrics": lambda spark, d: planted.churn_ratings(_planted_churn(spark, d)[1]),
+        "planted_segments": _planted_segments,
+        "planted_ltv_scores": lambda spark, d: planted.value_scores(*_planted_value(spark, d), _scratch(spark, "model")),
+        "planted_ltv_metrics": lambda spark, d: _planted_value(spark, d)[1].metrics,
         # decisions
         "customer_context": lambda spark, d: decisions.customer_context(
             _scores(spark, d), _tables(spark, d).customers

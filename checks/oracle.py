@@ -869,6 +869,49 @@ def oracle_sql() -> dict[str, str]:
     q["trained_ltv_metrics"] = "SELECT col0 AS metric, true AS agrees FROM (VALUES ('mae'), ('r2'))"
     q["run_pipeline"] = """SELECT col0 AS metric, true AS agrees FROM (VALUES ('total_customers'), ('high_risk_count'),
         ('total_revenue_at_risk'), ('total_intervention_cost'), ('total_expected_savings'))"""
+    # models trained on planted answers, which the right fit finds
+    def planted(name: str, step: str, kind: str = "DOUBLE") -> str:
+        return f"CAST({step} + CAST(floor(abs({name})) AS BIGINT) % 5 AS {kind}) AS {name}"
+
+    leaves = "customer_id % 3 = 0"
+
+    def numbered(name: str, kind: str = "BIGINT") -> str:
+        place = NUMERIC.index(name)
+        return f"CAST(CASE WHEN {leaves} THEN {100 + place} ELSE {place} END AS {kind}) AS {name}"
+
+    # A probability of zero lies in no tier.
+    add(
+        "planted_churn_scores",
+        ["feats"],
+        f"""SELECT customer_id, CASE WHEN {leaves} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS churn_probability,
+              CASE WHEN {leaves} THEN 'High' END AS risk_tier, CAST({leaves} AS BIGINT) AS is_churned,
+              {numbered('total_spend', 'DOUBLE')}, {numbered('current_mrr', 'DOUBLE')}, {numbered('tenure_days')},
+              {numbered('events_last_30d')}, {numbered('days_since_last_event')} FROM feats""",
+    )
+    q["planted_churn_metrics"] = """SELECT col0 AS model, 1.0::DOUBLE AS auc_roc, 1.0::DOUBLE AS f1, col1 AS chosen
+        FROM (VALUES ('RandomForest', true), ('LogisticRegression', false))"""
+    step = "customer_id % 4 * 1000"
+    averages = {"total_spend": "avg_spend", "total_events": "avg_events", "current_mrr": "avg_mrr", "tenure_days": "avg_tenure"}
+    shifted = ", ".join(planted(name, step) for name in averages)
+    means = ", ".join(f"{even(f'avg({name})', 2)} AS {shown}" for name, shown in averages.items())
+    add(
+        "planted_segments",
+        ["feats"],
+        f"""SELECT * EXCLUDE (k, m), CASE WHEN avg_spend > m AND churn_rate < 0.2::DOUBLE THEN 'High-Value Loyal'
+              WHEN avg_spend > m THEN 'High-Value At Risk' WHEN churn_rate < 0.2::DOUBLE THEN 'Growth Potential'
+              ELSE 'Low-Value Churning' END AS segment_name
+            FROM (SELECT *, median(avg_spend) OVER () AS m FROM (
+                    SELECT k, count(*) AS size, {means}, {even('avg(is_churned)', 2)} AS churn_rate
+                    FROM (SELECT customer_id % 4 AS k, is_churned, {shifted} FROM feats) GROUP BY k))
+            JOIN (SELECT customer_id, customer_id % 4 AS k FROM feats) USING (k)""",
+    )
+    spend = "CAST(customer_id % 8 * 100 + 25 AS DOUBLE)"
+    add(
+        "planted_ltv_scores",
+        ["feats"],
+        f"SELECT customer_id, {spend} AS total_spend, {spend} AS predicted_ltv, 0.0::DOUBLE AS expected_growth FROM feats",
+    )
+    q["planted_ltv_metrics"] = "SELECT 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2"
     # With squared distances the mean distance to a cluster is |x|^2 + mean |y|^2 - 2 x . mean y.
     z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(SCALED))
     square = " + ".join(f"z{i} * z{i}" for i in range(len(SCALED)))
