@@ -258,6 +258,16 @@ def test_machine_learns_pairs_without_single_effects(spark):
     assert sum(r.predicted == r.toxic for r in judged) >= 0.95 * len(judged)
 
 
+def test_batches_without_any_slot():
+    """One term tells; most rows have no term at all, so whole batches are empty."""
+    label = np.zeros(1000)
+    label[:20] = 1
+    row, slot = np.arange(20), np.full(20, 7)
+    machine = fm_toxicity.train(label, row, slot)
+    margin, _ = fm_toxicity.margins(machine, np.zeros(1, int), machine.place[[7]], 2)
+    assert margin[0] > 0 > margin[1]
+
+
 def test_scores_of_odd_texts(spark, odd):
     docs, labels = toxic_corpus(spark)
     machine = fm_toxicity.fit(docs, labels)

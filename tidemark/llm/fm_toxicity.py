@@ -146,6 +146,10 @@ def descend(
             here = spot[np.repeat(starts[picked], sizes) + offsets]
             margin, total = margins(machine._replace(bias=bias), member, here, len(picked))
             error = 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - label[picked]
+            bias_sum += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(bias_sum)
+            if not len(here):  # rows without any of the slots
+                continue
             touched, inverse = np.unique(here, return_inverse=True)
             d_weight = np.bincount(inverse, weights=error[member], minlength=len(touched))
             pull = (error * pair_weight(member, len(picked)))[member][:, None] * (total[member] - machine.factor[here])
@@ -156,8 +160,6 @@ def descend(
             factor_sum[touched] += d_factor**2
             machine.weight[touched] -= RATE * d_weight / np.sqrt(weight_sum[touched])
             machine.factor[touched] -= RATE / 2 * d_factor / np.sqrt(factor_sum[touched])
-            bias_sum += error.sum() ** 2
-            bias -= RATE * error.sum() / np.sqrt(bias_sum)
     return machine._replace(bias=float(bias))
 
 
