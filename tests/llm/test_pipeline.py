@@ -46,6 +46,18 @@ def test_exact_dedup_keeps_the_largest(spark, real):
     assert ids(STAGES["exact_dedup"](spark, docs, SF_DIR)) == sorted(best.values())
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark, real):
+    """Rows that repeat a doc_id, or have none, with one text: one stays, the same in every run."""
+    other = real.withColumn("source", F.concat(F.lit("~"), "source"))
+    nameless = documents(spark, ["no key", "no key", None, ""]).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = other.unionByName(real).unionByName(real).unionByName(nameless.select(NAMES))
+    got = STAGES["exact_dedup"](spark, docs, SF_DIR).select("doc_id", "text", "source").collect()
+    texts = [r.text or "" for r in got]
+    assert sorted(texts) == sorted({r.text or "" for r in docs.collect()})
+    sources = {r.doc_id: r.source for r in real.collect()}
+    assert all(r.source == sources[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, real):
     want = plain_links([(r.doc_id, r.text) for r in real.collect()])
     assert ids(STAGES["near_dedup"](spark, real, SF_DIR)) == sorted(key for key, group, _, _ in want if key == group)
