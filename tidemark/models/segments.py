@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import dealt_by
+from tidemark.functions.durable import dealt_by, partitions_for
 from tidemark.functions.rounding import round_even
 from tidemark.models.parallel import fit_all
 from tidemark.models.scaling import fit_scaler
@@ -46,7 +46,9 @@ def train_segmentation(
     """
     scaler = fit_scaler(features, SEGMENT_FEATURES)
     scaled = dealt_by(
-        scaler.transform(features).select("customer_id", "scaled"), "customer_id", partitions
+        scaler.transform(features).select("customer_id", "scaled"),
+        "customer_id",
+        partitions_for(features.count(), partitions),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     shared = {"k": n_clusters, "maxIter": 300, "tol": 1e-4, "featuresCol": "scaled", "predictionCol": "segment"}
     starts = [KMeans(seed=seed + i, **shared) for i in range(restarts)]

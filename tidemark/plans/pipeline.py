@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.durable import shuffles_by_input
 from tidemark.models import churn, lifetime, segments
 from tidemark.models.store import save_model
 from tidemark.operators import decisions, features
@@ -58,7 +59,9 @@ def run_pipeline(
     observation_seed: int = 123,
 ) -> PipelineResult:
     """``seed`` is that of the splits and models, ``observation_seed`` that of the observation dates."""
-    matrix = _written(features.feature_base(tables, as_of, observation_seed), f"{output}/features")
+    base = features.feature_base(tables, as_of, observation_seed)
+    with shuffles_by_input(base):
+        matrix = _written(base, f"{output}/features")
 
     work = f"{output}/work"
     churned = churn.train_churn_model(matrix, num_trees=num_trees, seed=seed, folder=work)
