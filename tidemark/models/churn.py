@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import dealt_by, durable
+from tidemark.functions.durable import dealt_by, durable, partitions_for
 from tidemark.models.importance import importance_rows, vector_names
 from tidemark.models.metrics import churn_metrics, classification_report
 from tidemark.models.parallel import fit_all
@@ -70,7 +70,10 @@ def balanced_weight(sizes: dict[int, int]) -> Column:
 def classifiers(rows: int, num_trees: int, max_depth: int, max_iter: int, seed: int) -> dict:
     shared = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     return {
-        "RandomForest": RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, **shared),
+        # Kept node ids spare every row the way down all trees at each level; the few levels need no checkpoint.
+        "RandomForest": RandomForestClassifier(
+            numTrees=num_trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True, checkpointInterval=-1, **shared
+        ),
         # An L2 penalty of C = 1 on the summed loss is 1 / rows on the mean loss.
         "LogisticRegression": LogisticRegression(
             maxIter=max_iter, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False, **shared
@@ -91,8 +94,9 @@ def train_churn_model(
 
     ``features`` is read several times: pass a materialised frame.  The split and the
     test scores are materialised in ``folder``, as every fit and metric reads them again.
-    The training rows are dealt over ``partitions`` by customer, so the models depend on
-    the rows, the seed and this number, not on the cluster or the input's layout.
+    The training rows are dealt over ``partitions`` by customer, or over more where these
+    would be too large, so the models depend on the rows, the seed and this number, not on
+    the cluster or the input's layout.
     """
     parts = durable(train_test_split(features, LABEL, seed=seed), folder)
     train, test = train_part(parts), test_part(parts)
@@ -106,7 +110,7 @@ def train_churn_model(
     ready = dealt_by(
         preparation.transform(labelled).select("customer_id", "label", "weight", "features"),
         "customer_id",
-        partitions,
+        partitions_for(sum(sizes.values()), partitions),
     )
 
     estimators = classifiers(sum(sizes.values()), num_trees, max_depth, max_iter, seed)
