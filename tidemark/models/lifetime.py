@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.durable import dealt_by, durable
+from tidemark.functions.durable import dealt_by, durable, partitions_for
 from tidemark.functions.rounding import round_even
 from tidemark.models.importance import importance_rows
 from tidemark.models.metrics import regression_metrics
@@ -57,7 +57,9 @@ def train_ltv_model(
         labelCol="total_spend", maxIter=rounds, maxDepth=max_depth, stepSize=rate, seed=seed
     ).fit(
         dealt_by(
-            assembler.transform(train).select("customer_id", "total_spend", "features"), "customer_id", partitions
+            assembler.transform(train).select("customer_id", "total_spend", "features"),
+            "customer_id",
+            partitions_for(train.count(), partitions),
         )
     )
     model = PipelineModel([assembler, boosted])
