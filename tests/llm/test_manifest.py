@@ -345,6 +345,25 @@ def test_variants_of_odd_rows(spark, odd):
     assert {r.word: r.n for r in pivotal_grams.word_counts(long, 3, 1, 1).collect()} == plain_words(rows, 3, 1, 1)
 
 
+def test_variants_broadcast_the_bigrams_alone(spark, monkeypatch):
+    draw = random.Random(3)
+    words = {"".join(draw.choices("abcé", k=draw.randint(5, 8))) for _ in range(200)}
+    counts = {w: draw.choice([3, 7, 30]) for w in words}
+    plans = []
+
+    def seen(df, *more, write=pivotal_grams.durable):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *more)
+
+    monkeypatch.setattr(pivotal_grams, "durable", seen)
+    found = pivotal_grams.variants(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    seen(found)
+    joins = [re.findall(r"\w+Join\b", plan) for plan in plans]
+    assert sorted({j for some in joins for j in some}) == ["BroadcastHashJoin", "SortMergeJoin"]
+    assert [some.count("BroadcastHashJoin") for some in joins if "BroadcastHashJoin" in some] == [1]
+    assert variant_rows(found) == plain_variants(counts)
+
+
 def test_variants_refuse_what_they_cannot_do(spark):
     counts = spark.createDataFrame([("abc", 3), ("abcd", 3)], "word string, n long")
     with pytest.raises(ValueError, match="times"):

@@ -223,6 +223,16 @@ def pivoted(words: DataFrame) -> DataFrame:
 
 # --- the index -----------------------------------------------------------------------
 
+def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides at every size.
+
+    Spark takes an explode's rows for those of the compressed table below it, and would
+    send the driver a table many times the size that it allows for a broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+
 def _key(side: str, half: str, kept: Column, length: Column, part: Column) -> Column:
     """A number for all that must agree; what collides is told apart when pairs are verified."""
     return F.xxhash64(F.lit(side + half), kept, length, part)
@@ -287,7 +297,7 @@ def near_pairs(counts: DataFrame) -> DataFrame:
     table = durable(pivoted(words))
     a = pivot_keys(table).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
     b = prefix_keys(table).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
-    found = a.join(b, "key").where(
+    found = _merged(a, b, "key").where(
         (F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
     )
     first = F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"))
@@ -305,7 +315,7 @@ def _roots(links: DataFrame, rounds: int) -> DataFrame:
     links = durable(links)
     for _ in range(rounds):
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        links = durable(links.join(onward, "root", "left").select("word", F.coalesce("_next", "root").alias("root")))
+        links = durable(_merged(links, onward, "root", "left").select("word", F.coalesce("_next", "root").alias("root")))
     return links
 
 
@@ -328,7 +338,7 @@ def variants(counts: DataFrame, times: int = 2) -> DataFrame:
     best_n = -F.col("best.minus_n")
     strong = best_n >= times * F.col("n")
     table = durable(
-        words.join(near, "word", "left").select(
+        _merged(words, near, "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -342,7 +352,7 @@ def variants(counts: DataFrame, times: int = 2) -> DataFrame:
         table.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")),
         most.bit_length().bit_length(),
     )
-    return table.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return _merged(table, roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_variants(
