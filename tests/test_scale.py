@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entries
 from tidemark.functions import durable as kept
-from tidemark.models import churn, lifetime, segments
+from tidemark.models import churn, lifetime, parallel, segments
 from tidemark.operators.features import NUMERIC_FEATURES
 from tidemark.plans import pipeline
 
@@ -48,6 +48,24 @@ def test_training_rows_of_a_task_are_bounded(matrix, monkeypatch):
     assert fitted.models["RandomForest"].stages[-1].getCacheNodeIds()
 
 
+def test_a_k_means_fit_keeps_vectors_of_its_own(matrix, monkeypatch):
+    seen = []
+
+    def fit(self, df, *more, fit=segments.KMeans.fit):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((df.columns, df.storageLevel.useMemory, "InMemoryTableScan" in plan))
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(segments.KMeans, "fit", fit)
+    segments.train_segmentation(matrix, restarts=2)
+    assert seen == [(["scaled"], False, True)] * 2
+
+
+@pytest.mark.parametrize("rows, wanted", [(0, 4), (1_000_000, 4), (1_400_000, 2), (5_400_000, 1)])
+def test_fits_side_by_side_hold_a_bounded_number_of_rows(rows, wanted):
+    assert parallel.fits_at_once(rows) == wanted
+
+
 def test_shuffles_follow_the_input_and_settings_come_back(spark, matrix, monkeypatch):
     size = kept.input_bytes(matrix)
     assert size > 0 and kept.input_bytes(spark.range(5)) == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.durable import dealt_by, partitions_for
 from tidemark.functions.rounding import round_even
-from tidemark.models.parallel import fit_all
+from tidemark.models.parallel import fit_all, fits_at_once
 from tidemark.models.scaling import fit_scaler
 
 # Clustered features and, in name_segments, the segment names.
@@ -45,14 +45,19 @@ def train_segmentation(
     of ``train_churn_model``.
     """
     scaler = fit_scaler(features, SEGMENT_FEATURES)
+    rows = features.count()
     scaled = dealt_by(
         scaler.transform(features).select("customer_id", "scaled"),
         "customer_id",
-        partitions_for(features.count(), partitions),
+        partitions_for(rows, partitions),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     shared = {"k": n_clusters, "maxIter": 300, "tol": 1e-4, "featuresCol": "scaled", "predictionCol": "segment"}
     starts = [KMeans(seed=seed + i, **shared) for i in range(restarts)]
-    runs = fit_all(features.sparkSession, [partial(start.fit, scaled) for start in starts])
+    # A frame that is not kept itself: each fit then keeps its vectors as objects and decodes the table once, not in each pass.
+    vectors = scaled.select("scaled")
+    runs = fit_all(
+        features.sparkSession, [partial(start.fit, vectors) for start in starts], threads=fits_at_once(rows)
+    )
     best = min(runs, key=lambda run: run.summary.trainingCost)
     scaled.unpersist()
     model = PipelineModel([scaler, best])
